@@ -110,33 +110,36 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield number(), ids, texts
 
 
-def _dealt(texts: list[str], buckets: int) -> tuple[list[list[str]], dict[str, int], list[list[str]]]:
-    """Each text's words, the order of the distinct ones, and these by bucket."""
+def _dealt(texts: list[str], buckets: int) -> tuple[list[list[str]], list[list[str]]]:
+    """Each text's words, and the distinct ones by bucket, in order of appearance."""
     each = [words_of(t) for t in texts]
     distinct = dict.fromkeys(w for ws in each for w in ws)
     by: list[list[str]] = [[] for _ in range(buckets)]
     for w in distinct:
         by[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-    return each, {}, by
+    return each, by
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, keep_text: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit) and n_tokens of each row.
 
     Ids are those of encode(text, add_special_tokens=False).  A null or empty
     text has no ids; a row with a null doc_id stays; repeated rows each get a
-    row.  Other columns are not read.  buckets: parts of the word table, by
+    row.  keep_text: the text, too (null as empty).  Other columns are not read.  buckets: parts of the word table, by
     default the session's shuffle partitions; more of them for more memory.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[doc_id].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batches_type = to_arrow_type(kind)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
-            _, _, by = _dealt(texts, n)
+            _, by = _dealt(texts, n)
             for k, ws in enumerate(by):
                 if ws:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(pa.array(ws))], pa.binary())], names=["block", "bucket", "words"])
@@ -156,9 +159,8 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(pa.array(zip_lengths(lens, len(ids))), ids)], pa.binary())], names=["block", "bucket", "blob"])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = batches_type
         for block, ids, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([_pack(pa.array(ids, id_type), pa.array(texts, pa.large_string()))], pa.binary())], names=["block", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([_pack(pa.array(ids, batches_type), pa.array(texts, pa.large_string()))], pa.binary())], names=["block", "bucket", "blob"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer_path)
@@ -169,7 +171,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                     part[k] = _unpack(blob)
                     continue
                 held = _unpack(blob)
-                each, _, by = _dealt(held.column(1).to_pylist(), n)
+                each, by = _dealt(held.column(1).to_pylist(), n)
                 order: dict[str, int] = {}
                 ids, lens = [], []
                 for j, ws in enumerate(by):
@@ -194,16 +196,16 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                     for ws in each[at : at + 256]:
                         index = np.fromiter(map(order.__getitem__, ws), np.int64, len(ws))
                         blobs.append(_ragged(flat, begins, index)[0].astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, 256).combine_chunks(), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                    columns = [keys.slice(at, 256).combine_chunks(), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64())]
+                    if keep_text:
+                        columns.append(held.column(1).slice(at, 256).combine_chunks().cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "text"][: len(columns)])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batches_type = to_arrow_type(kind)
     words = rows.mapInArrow(name, "block long, bucket int, words binary")
     table = words.repartition(n, "bucket").mapInArrow(answer, "block long, bucket int, blob binary")
     texts = rows.mapInArrow(carry, "block long, bucket int, blob binary")
     met = table.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "bucket")
-    return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
+    return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("text", T.StringType())] * keep_text]))
 
 
 def zip_lengths(lens: pa.Array, n: int) -> np.ndarray:

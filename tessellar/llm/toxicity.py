@@ -91,7 +91,14 @@ class Index:
 
     def __init__(self, texts: list[str | None], labels: list[int], ids: list[int] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
         counted = [words(t) for t in texts]
-        kept = pick_terms(counted, labels)
+        # copies of one text say no more of its terms than the text does
+        once, ends = [], set()
+        for i, text in enumerate(texts):
+            own = {(0, (text or "")[:64]), (1, (text or "")[-64:])}
+            if ends.isdisjoint(own):
+                once.append(i)
+            ends |= own
+        kept = pick_terms([counted[i] for i in once], [labels[i] for i in once])
         self.terms = {t: i for i, t in enumerate([*kept, *[f"#{k}" for k in SHARES]])}
         self._words: dict[str, tuple[int, ...]] = {}
         self._scores: dict[tuple, tuple[float, list[int], list[float]]] = {}
