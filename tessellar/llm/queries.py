@@ -88,8 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _license_sql() -> str:
     rows, idf, unknown, vectors = licenses.template_rows()
-    weights = ", ".join(f"('{w}', {x!r})" for w, x in idf.items())
-    notices = ", ".join(f"({k}, '{w}', {x!r})" for k, v in enumerate(vectors) for w, x in v.items())
+    weights = ", ".join(f"('{w}', {x!r}e0)" for w, x in idf.items())
+    notices = ", ".join(f"({k}, '{w}', {x!r}e0)" for k, v in enumerate(vectors) for w, x in v.items())
     names = ", ".join(f"({k}, '{r[0]}')" for k, r in enumerate(rows))
     pattern = "|".join(licenses.anchors(vectors, licenses.LEAST))
     return f"""
@@ -98,7 +98,7 @@ files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) A
 numbered AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files),
 kept AS (SELECT * FROM numbered WHERE regexp_matches(lower(line), '(^|[^a-z0-9])({pattern})([^a-z0-9]|$)')),
 words AS (SELECT path, line_no, lower(unnest(regexp_extract_all(line, '{licenses.WORD}'))) AS term FROM kept),
-counted AS (SELECT path, line_no, term, count(*) * coalesce(any_value(idf), {unknown!r}) AS x FROM words LEFT JOIN idf USING (term) GROUP BY path, line_no, term),
+counted AS (SELECT path, line_no, term, count(*) * coalesce(any_value(idf), {unknown!r}e0) AS x FROM words LEFT JOIN idf USING (term) GROUP BY path, line_no, term),
 norms AS (SELECT path, line_no, sqrt(sum(x * x)) AS norm FROM counted GROUP BY path, line_no),
 dots AS (SELECT path, line_no, k, sum(x * weight) AS dot FROM counted JOIN w USING (term) GROUP BY path, line_no, k),
 scored AS (SELECT path, license, round(dot / norm, 9) AS score FROM dots JOIN norms USING (path, line_no) JOIN names USING (k) WHERE round(dot / norm, 9) >= {licenses.LEAST}),
