@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Notices by which files name their licence.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
@@ -102,7 +104,7 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: flo
     own = by_line.unionByName(by_file).groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
     own = own.select("path", "best.license", "best.score")
     paths = rows.select("path").distinct().withColumn("dir", _directory(F.col("path")))
-    paths = paths.join(own, "path", "left")
+    paths = cut(paths.join(own, "path", "left"))  # read three times below
     # one row a directory: its licence file, if any
     given = paths.filter(F.col("license").isNotNull() & is_license).groupBy("dir").agg(F.min_by(F.struct("license", "score", "path"), F.struct(-F.col("score"), F.col("path"))).alias("by"))
     dirs = paths.filter("license is null").select("dir").distinct()
