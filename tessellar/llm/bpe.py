@@ -7,14 +7,15 @@ in turn.  Texts are dealt into blocks; each block sends its distinct words, by
 hash, to the task that holds that part of the word table; that task encodes
 each distinct word of the corpus once and answers each block with the ids in
 the order in which it named its words; the block joins ids back by position.
-What is shuffled is each block's distinct words, their ids and the compressed
-texts: no row per word occurrence.
+What is shuffled is each block's distinct words, their ids and each position's
+word number, compressed: no row per word occurrence.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import whole_groups, with_fields
+from .common import with_fields
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
 _ODD = re.compile(r"\s \S|\S  |^ | $|  ")
 _START = re.compile(r"(?<=\S)(?= \S)")
 
@@ -76,48 +77,81 @@ def _ragged(values: np.ndarray, begins: np.ndarray, index: np.ndarray) -> tuple[
     return values[np.arange(len(shift)) + shift], n
 
 
-def _pack(*arrays: pa.Array) -> bytes:
+def _pack(words: list[str]) -> bytes:
     sink = pa.BufferOutputStream()
-    t = pa.table(list(arrays), names=[str(i) for i in range(len(arrays))])
+    t = pa.table([pa.array(words, pa.string())], names=["words"])
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
+def _unpack(blob: bytes) -> list[str]:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().column(0).to_pylist()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(number, ids, texts) of each block of a partition.  The number comes from
-    the block's own rows, so that two passes over them agree on it."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, each array in the narrowest type that holds them."""
+    out = []
+    for a in arrays:
+        kind = np.dtype("<u2" if a.max(initial=0) < 1 << 16 else "<u4")
+        body = pa.compress(a.astype(kind).tobytes(), codec="zstd", asbytes=True)
+        out.append(len(a).to_bytes(8, "little") + bytes([kind.itemsize]) + len(body).to_bytes(8, "little") + body)
+    return b"".join(out)
 
-    def number() -> int:
-        return int.from_bytes(zlib.crc32(repr(ids).encode()).to_bytes(4, "little") + zlib.crc32("\0".join(t[:64] for t in texts).encode("utf-8", "replace")).to_bytes(4, "little"), "little", signed=True)
 
+def _expand(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n, width, size = int.from_bytes(blob[at : at + 8], "little"), blob[at + 8], int.from_bytes(blob[at + 9 : at + 17], "little")
+        body = pa.decompress(blob[at + 17 : at + 17 + size], decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
+        out.append(np.frombuffer(body, f"<u{width}").astype(np.int64))
+        at += 17 + size
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str], np.ndarray, np.ndarray]]:
+    """(number, doc ids, distinct words, words' places among them text by text,
+    words a text) of each block of a partition.  The number comes from the
+    words, so that two passes over the same rows agree on it."""
+
+    def begin() -> None:
+        nonlocal ids, order, places, size
+        order = defaultdict()
+        order.default_factory = order.__len__
+        ids, places, size = [], [], 0
+
+    ids, order, places, size = [], defaultdict(), [], 0
+
+    def made():
+        words = list(order)
+        seen = "\0".join(words).encode("utf-8", "surrogatepass")
+        number = (zlib.crc32(seen) << 31) ^ zlib.crc32(repr(ids).encode(), len(words))
+        return number, ids, words, np.concatenate([*places, np.empty(0, np.int32)]), np.array([len(p) for p in places])
+
+    begin()
     for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py() or ""
+            words = words_of(text)
             ids.append(i)
-            texts.append(text or "")
-            size += len(texts[-1])
+            places.append(np.fromiter(map(order.__getitem__, words), np.int32, len(words)))
+            size += len(text)
             if size >= BLOCK_CHARS:
-                yield number(), ids, texts
-                ids, texts, size = [], [], 0
+                yield made()
+                begin()
     if ids:
-        yield number(), ids, texts
+        yield made()
+
 
+def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, bucket by bucket, and where each bucket begins."""
+    bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-def _dealt(texts: list[str], buckets: int) -> tuple[list[list[str]], list[list[str]]]:
-    """Each text's words, and the distinct ones by bucket, in order of appearance."""
-    each = [words_of(t) for t in texts]
-    distinct = dict.fromkeys(w for ws in each for w in ws)
-    by: list[list[str]] = [[] for _ in range(buckets)]
-    for w in distinct:
-        by[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-    return each, by
+
+def _encoded(tok, words: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, np.uint32) for at in range(0, len(words), 20_000) for e in tok.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, keep_text: bool = False) -> DataFrame:
@@ -125,100 +159,91 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
 
     Ids are those of encode(text, add_special_tokens=False).  A null or empty
     text has no ids; a row with a null doc_id stays; repeated rows each get a
-    row.  keep_text: the text, too (null as empty).  Other columns are not read.  buckets: parts of the word table, by
-    default the session's shuffle partitions; more of them for more memory.
+    row.  keep_text: the text, too (null as empty).  Other columns are not
+    read; an empty table gives an empty table.  buckets: parts of the word
+    table, by default the session's shuffle partitions; more of them for less
+    memory each.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[doc_id].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    batches_type = to_arrow_type(kind)
+    id_type = to_arrow_type(kind)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
+    def row(block: int, bucket: int, blob: bytes, words: bytes | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([words], pa.binary())], names=["block", "bucket", "blob", "words"])
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in _blocks(batches):
-            _, by = _dealt(texts, n)
-            for k, ws in enumerate(by):
-                if ws:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(pa.array(ws))], pa.binary())], names=["block", "bucket", "words"])
+        for block, _, words, _, _ in _blocks(batches):
+            order, begins = _dealt(words, n)
+            for k in range(n):
+                if begins[k] < begins[k + 1]:
+                    yield row(block, k, b"", _pack([words[i] for i in order[begins[k] : begins[k + 1]]]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, table = load(tokenizer_path), {}
         for b in batches:
-            for block, k, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ws = _unpack(blob).column(0).to_pylist()
-                new = [w for w in ws if w not in table]
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    table.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
-                got = [table[w] for w in ws]
-                ids = pa.array(np.frombuffer(b"".join(got), np.uint32))
-                lens = pa.array(np.fromiter(map(len, got), np.int64, len(got)) // 4)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(pa.array(zip_lengths(lens, len(ids))), ids)], pa.binary())], names=["block", "bucket", "blob"])
+            for i in range(b.num_rows):
+                words = _unpack(b.column(3)[i].as_py())
+                new = [w for w in words if w not in table]
+                table.update(zip(new, (x.tobytes() for x in _encoded(tok, new)), strict=True))
+                got = [table[w] for w in words]
+                yield row(b.column(0)[i].as_py(), b.column(1)[i].as_py(), _squeeze(np.fromiter(map(len, got), np.int64, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([_pack(pa.array(ids, batches_type), pa.array(texts, pa.large_string()))], pa.binary())], names=["block", "bucket", "blob"])
+        for block, ids, words, places, sizes in _blocks(batches):
+            head = pa.RecordBatch.from_arrays([pa.array(ids, id_type)], names=["doc_id"]).serialize().to_pybytes()
+            yield row(block, n, len(head).to_bytes(8, "little") + head + _squeeze(sizes, places), _pack(words))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer_path)
-        for t in whole_groups(batches, ["block"]):
-            part: dict[int, pa.Table] = {}
-            for block, k, blob in zip(*(t.column(c).to_pylist() for c in ("block", "bucket", "blob")), strict=True):
+        answers: dict[int, list[np.ndarray]] = {}
+        of = None
+        for b in batches:
+            for i in range(b.num_rows):
+                block, k, blob = (b.column(c)[i].as_py() for c in range(3))
+                if block != of:
+                    of, answers = block, {}
                 if k < n:
-                    part[k] = _unpack(blob)
+                    answers[k] = _expand(blob)
                     continue
-                held = _unpack(blob)
-                each, by = _dealt(held.column(1).to_pylist(), n)
-                order: dict[str, int] = {}
-                ids, lens = [], []
-                for j, ws in enumerate(by):
-                    if not ws:
-                        continue
-                    order.update(zip(ws, range(len(order), len(order) + len(ws)), strict=True))
-                    got = part.get(j)
-                    here = unzip_lengths(got.column(0).to_numpy()) if got is not None else np.empty(0, np.int64)
-                    if len(here) == len(ws):
-                        lens.append(here)
-                        ids.append(got.column(1).to_numpy()[: int(here.sum())])
-                    else:  # the block was cut elsewhere in a repeated pass: encode here
-                        own = [e.ids for e in tok.encode_batch_fast(ws, add_special_tokens=False)]
-                        lens.append(np.fromiter(map(len, own), np.int64, len(own)))
-                        ids.append(np.array([i for x in own for i in x], np.uint32))
-                part = {}
-                flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.uint32)
-                begins = np.concatenate([[0], np.cumsum(np.concatenate([*lens, np.empty(0, np.int64)]))]).astype(np.int64)
-                keys = held.column(0)
-                for at in range(0, len(each), 256):
-                    blobs = []
-                    for ws in each[at : at + 256]:
-                        index = np.fromiter(map(order.__getitem__, ws), np.int64, len(ws))
-                        blobs.append(_ragged(flat, begins, index)[0].astype("<u4").tobytes())
-                    columns = [keys.slice(at, 256).combine_chunks(), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64())]
-                    if keep_text:
-                        columns.append(held.column(1).slice(at, 256).combine_chunks().cast(pa.string()))
+                words = _unpack(b.column(3)[i].as_py())
+                order, begins = _dealt(words, n)
+                lens, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for j in range(n):
+                    own = order[begins[j] : begins[j + 1]]
+                    got = answers.get(j, [()])
+                    if len(got[0]) != len(own):  # a repeated pass cut the block elsewhere: encode here
+                        e = _encoded(tok, [words[w] for w in own])
+                        got = [np.array([len(x) for x in e], np.int64), np.concatenate([*e, np.empty(0, np.uint32)]).astype(np.int64)]
+                    lens.append(got[0])
+                    flat.append(got[1])
+                lens, flat = np.concatenate(lens), np.concatenate(flat).astype(np.uint32)
+                place = np.empty(len(words), np.int64)
+                place[order] = np.arange(len(words))
+                starts = np.concatenate([[0], np.cumsum(lens)])
+                size = int.from_bytes(blob[:8], "little")
+                keys = pa.ipc.read_record_batch(pa.py_buffer(blob[8 : 8 + size]), pa.schema([("doc_id", id_type)])).column(0)
+                sizes, places = _expand(blob[8 + size :])
+                ends = np.cumsum(sizes)
+                for at in range(0, len(keys), 128):
+                    blobs, texts = [], []
+                    for lo, hi in zip(ends[at : at + 128] - sizes[at : at + 128], ends[at : at + 128], strict=True):
+                        blobs.append(_ragged(flat, starts, place[places[lo:hi]])[0].astype("<u4").tobytes())
+                        if keep_text:
+                            texts.append("".join([words[w] for w in places[lo:hi]]))
+                    columns = [keys.slice(at, 128), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64()), *[pa.array(texts, pa.string())] * keep_text]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "text"][: len(columns)])
 
-    words = rows.mapInArrow(name, "block long, bucket int, words binary")
-    table = words.repartition(n, "bucket").mapInArrow(answer, "block long, bucket int, blob binary")
-    texts = rows.mapInArrow(carry, "block long, bucket int, blob binary")
-    met = table.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    shape = "block long, bucket int, blob binary, words binary"
+    table = rows.mapInArrow(name, shape).repartition(n, "bucket").mapInArrow(answer, shape)
+    met = table.unionByName(rows.mapInArrow(carry, shape)).repartition(n, "block").sortWithinPartitions("block", "bucket")
     return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("text", T.StringType())] * keep_text]))
 
 
-def zip_lengths(lens: pa.Array, n: int) -> np.ndarray:
-    """Lengths, padded to the n ids beside which they are kept; 0 is no length of a word."""
-    out = np.zeros(max(n, len(lens)), np.uint32)
-    out[: len(lens)] = lens.to_numpy()
-    return out
-
-
-def unzip_lengths(lens: np.ndarray) -> np.ndarray:
-    return lens[lens > 0].astype(np.int64)
-
-
 def decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataFrame:
     """encoded with decoded, the text of decode(ids, skip_special_tokens=False).
 
