@@ -1 +1,19 @@
+"""Scalar functions: content identity."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def content_digest(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON, names sorted, whole numbers as strings: the
+    same for the same content, whatever the columns' order.  For strings, whole
+    numbers and booleans."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.to_json(F.array(v.cast("string"))), F.lit("null"))) for k, v in sorted(fields.items())]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+
+
+def length_prefixed(*parts: Column) -> Column:
+    """One key from several strings, none confusable with another."""
+    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
