@@ -90,22 +90,21 @@ def _unpack(blob: bytes) -> list[str]:
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Whole numbers, each array in the narrowest type that holds them."""
+    """Whole numbers as 32 bits, all first bytes, then all second ones and so on, compressed."""
     out = []
     for a in arrays:
-        kind = np.dtype("<u2" if a.max(initial=0) < 1 << 16 else "<u4")
-        body = pa.compress(a.astype(kind).tobytes(), codec="zstd", asbytes=True)
-        out.append(len(a).to_bytes(8, "little") + bytes([kind.itemsize]) + len(body).to_bytes(8, "little") + body)
+        body = pa.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+        out.append(len(a).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body)
     return b"".join(out)
 
 
 def _expand(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
-        n, width, size = int.from_bytes(blob[at : at + 8], "little"), blob[at + 8], int.from_bytes(blob[at + 9 : at + 17], "little")
-        body = pa.decompress(blob[at + 17 : at + 17 + size], decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
-        out.append(np.frombuffer(body, f"<u{width}").astype(np.int64))
-        at += 17 + size
+        n, size = (int.from_bytes(blob[at + k : at + k + 8], "little") for k in (0, 8))
+        body = pa.decompress(blob[at + 16 : at + 16 + size], decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, n).T).view("<u4").ravel())
+        at += 16 + size
     return out
 
 
@@ -123,10 +122,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
     ids, order, places, size = [], defaultdict(), [], 0
 
     def made():
-        words = list(order)
-        seen = "\0".join(words).encode("utf-8", "surrogatepass")
-        number = (zlib.crc32(seen) << 31) ^ zlib.crc32(repr(ids).encode(), len(words))
-        return number, ids, words, np.concatenate([*places, np.empty(0, np.int32)]), np.array([len(p) for p in places])
+        words, at = list(order), np.concatenate([*places, np.empty(0, np.int32)])
+        # frequent words first: their numbers are small, which compresses
+        by_count = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.int32)
+        number[by_count] = np.arange(len(words))
+        words = [words[i] for i in by_count]
+        block = (zlib.crc32("\0".join(words).encode("utf-8", "surrogatepass")) << 31) ^ zlib.crc32(repr(ids).encode(), len(words))
+        return block, ids, words, number[at], np.array([len(p) for p in places])
 
     begin()
     for b in batches:
@@ -143,24 +146,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield made()
 
 
-def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' numbers, bucket by bucket, and where each bucket begins."""
-    bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _dealt(words: list[str], buckets: int) -> tuple[list[list[str]], np.ndarray]:
+    """The words by bucket, and each word's number: place in its bucket x buckets + bucket."""
+    by: list[list[str]] = [[] for _ in range(buckets)]
+    number = np.empty(len(words), np.int64)
+    for i, w in enumerate(words):
+        k = zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets
+        number[i] = len(by[k]) * buckets + k
+        by[k].append(w)
+    return by, number
 
 
 def _encoded(tok, words: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for at in range(0, len(words), 20_000) for e in tok.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit) and n_tokens of each row.
 
     Ids are those of encode(text, add_special_tokens=False).  A null or empty
     text has no ids; a row with a null doc_id stays; repeated rows each get a
-    row.  keep_text: the text, too (null as empty).  Other columns are not
-    read; an empty table gives an empty table.  buckets: parts of the word
+    row.  decoded: also the text that decode() makes of the ids, in the same
+    task.  The rows are read twice and must come in the same order: a scan of
+    files, or a table that was written; else the job fails rather than err.
+    Other columns are not read; an empty table gives an empty table.  buckets: parts of the word
     table, by default the session's shuffle partitions; more of them for less
     memory each.
     """
@@ -173,21 +182,20 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
-    def row(block: int, bucket: int, blob: bytes, words: bytes | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([words], pa.binary())], names=["block", "bucket", "blob", "words"])
+    def row(block: int, bucket: int, blob: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["block", "bucket", "blob"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, words, _, _ in _blocks(batches):
-            order, begins = _dealt(words, n)
-            for k in range(n):
-                if begins[k] < begins[k + 1]:
-                    yield row(block, k, b"", _pack([words[i] for i in order[begins[k] : begins[k + 1]]]))
+            for k, own in enumerate(_dealt(words, n)[0]):
+                if own:
+                    yield row(block, k, _pack(own))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, table = load(tokenizer_path), {}
         for b in batches:
             for i in range(b.num_rows):
-                words = _unpack(b.column(3)[i].as_py())
+                words = _unpack(b.column(2)[i].as_py())
                 new = [w for w in words if w not in table]
                 table.update(zip(new, (x.tobytes() for x in _encoded(tok, new)), strict=True))
                 got = [table[w] for w in words]
@@ -195,11 +203,11 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, words, places, sizes in _blocks(batches):
+            number = _dealt(words, n)[1]
             head = pa.RecordBatch.from_arrays([pa.array(ids, id_type)], names=["doc_id"]).serialize().to_pybytes()
-            yield row(block, n, len(head).to_bytes(8, "little") + head + _squeeze(sizes, places), _pack(words))
+            yield row(block, n, len(head).to_bytes(8, "little") + head + _squeeze(sizes, number[places] if len(words) else places))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(tokenizer_path)
         answers: dict[int, list[np.ndarray]] = {}
         of = None
         for b in batches:
@@ -210,38 +218,39 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                 if k < n:
                     answers[k] = _expand(blob)
                     continue
-                words = _unpack(b.column(3)[i].as_py())
-                order, begins = _dealt(words, n)
-                lens, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for j in range(n):
-                    own = order[begins[j] : begins[j + 1]]
-                    got = answers.get(j, [()])
-                    if len(got[0]) != len(own):  # a repeated pass cut the block elsewhere: encode here
-                        e = _encoded(tok, [words[w] for w in own])
-                        got = [np.array([len(x) for x in e], np.int64), np.concatenate([*e, np.empty(0, np.uint32)]).astype(np.int64)]
-                    lens.append(got[0])
-                    flat.append(got[1])
-                lens, flat = np.concatenate(lens), np.concatenate(flat).astype(np.uint32)
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                starts = np.concatenate([[0], np.cumsum(lens)])
+                none = np.empty(0, np.uint32)
                 size = int.from_bytes(blob[:8], "little")
                 keys = pa.ipc.read_record_batch(pa.py_buffer(blob[8 : 8 + size]), pa.schema([("doc_id", id_type)])).column(0)
                 sizes, places = _expand(blob[8 + size :])
-                ends = np.cumsum(sizes)
+                del blob
+                lens = [answers[j][0] if j in answers else none for j in range(n)]
+                flat = np.concatenate([answers[j][1] if j in answers else none for j in range(n)])
+                answers = {}
+                first = np.cumsum([0, *map(len, lens)])
+                starts = np.concatenate([[0], np.cumsum(np.concatenate(lens), dtype=np.int64)])
+                ends = np.cumsum(sizes, dtype=np.int64)
                 for at in range(0, len(keys), 128):
-                    blobs, texts = [], []
+                    blobs = []
                     for lo, hi in zip(ends[at : at + 128] - sizes[at : at + 128], ends[at : at + 128], strict=True):
-                        blobs.append(_ragged(flat, starts, place[places[lo:hi]])[0].astype("<u4").tobytes())
-                        if keep_text:
-                            texts.append("".join([words[w] for w in places[lo:hi]]))
-                    columns = [keys.slice(at, 128), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64()), *[pa.array(texts, pa.string())] * keep_text]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "text"][: len(columns)])
-
-    shape = "block long, bucket int, blob binary, words binary"
+                        place, bucket = np.divmod(places[lo:hi].astype(np.int64), n)
+                        if len(place) and (place >= first[bucket + 1] - first[bucket]).any():
+                            raise RuntimeError("the texts came in another order in a second pass: write them to a table first")
+                        blobs.append(_ragged(flat, starts, first[bucket] + place)[0].astype("<u4").tobytes())
+                    columns = [keys.slice(at, 128), pa.array(blobs, pa.binary()), pa.array([len(x) // 4 for x in blobs], pa.int64())]
+                    if decoded:
+                        columns.append(pa.array(_decoded(blobs, tokenizer_path), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "decoded"][: len(columns)])
+
+    shape = "block long, bucket int, blob binary"
     table = rows.mapInArrow(name, shape).repartition(n, "bucket").mapInArrow(answer, shape)
     met = table.unionByName(rows.mapInArrow(carry, shape)).repartition(n, "block").sortWithinPartitions("block", "bucket")
-    return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("text", T.StringType())] * keep_text]))
+    return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded]))
+
+
+def _decoded(blobs: list[bytes | None], path: str) -> list[str]:
+    """Each id joined to its piece; the pieces' bytes in turn as text."""
+    flat, begins = pieces(path)
+    return [_ragged(flat, begins, np.frombuffer(b or b"", "<u4").astype(np.int64))[0].tobytes().decode("utf-8", "replace") for b in blobs]
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataFrame:
@@ -253,12 +262,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> Data
     """
 
     def fn(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        flat, begins = pieces(tokenizer_path)
         for t in tables:
-            out = []
-            for blob in t.column("ids").to_pylist():
-                index = np.frombuffer(blob or b"", "<u4").astype(np.int64)
-                out.append(_ragged(flat, begins, index)[0].tobytes().decode("utf-8", "replace"))
-            yield pa.table({"decoded": pa.array(out, pa.string())})
+            yield pa.table({"decoded": pa.array(_decoded(t.column("ids").to_pylist(), tokenizer_path), pa.string())})
 
     return with_fields(encoded, fn, {"ids": ids}, [("decoded", T.StringType())])

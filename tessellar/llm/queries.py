@@ -32,7 +32,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    out = bpe.encode(_read(spark, sf_dir, "documents"), path, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
