@@ -157,7 +157,7 @@ def grid_targets(spark, d):
 _NEAREST = f"""WITH {FRAMES}, b AS (SELECT recording, min(start_ns) AS lo, min(start_ns) + {7200 * S} AS hi FROM f WHERE recording < 20 GROUP BY recording), {_GRID},
 h AS (SELECT t.recording, k, target_ns, event_id, start_ns, label = 'error' AS bad, abs(start_ns - target_ns) AS delta, row_number() OVER (PARTITION BY t.recording, k ORDER BY label = 'error', abs(start_ns - target_ns), start_ns, event_id) AS n FROM t JOIN f ON t.recording = f.recording AND abs(start_ns - target_ns) <= {200 * S}),
 j AS (SELECT t.recording, t.k, t.target_ns, event_id AS frame_id, start_ns AS frame_ns, delta, CASE WHEN event_id IS NULL THEN 'NO_FRAME' WHEN bad THEN 'DECODE_FAILED' ELSE 'SELECTED' END AS status FROM t LEFT JOIN (SELECT * FROM h WHERE n = 1) h ON t.recording = h.recording AND t.k = h.k)
-SELECT recording, k, target_ns, frame_id, frame_ns, delta, CASE WHEN status = 'SELECTED' AND row_number() OVER (PARTITION BY recording, status, frame_id ORDER BY delta, target_ns, k) > 1 THEN 'DEDUPLICATED_FRAME' ELSE status END AS status FROM j"""
+SELECT recording, k, target_ns, coalesce(frame_id, -1) AS frame_id, coalesce(frame_ns, -1) AS frame_ns, coalesce(delta, -1) AS delta, CASE WHEN status = 'SELECTED' AND row_number() OVER (PARTITION BY recording, status, frame_id ORDER BY delta, target_ns, k) > 1 THEN 'DEDUPLICATED_FRAME' ELSE status END AS status FROM j"""
 
 
 @query(_NEAREST)
@@ -165,15 +165,16 @@ def j2_j3_nearest_frame(spark, d):
     f, b = _spans(spark, d)
     t = timegrid.grid_targets(b, ["recording"], "lo", "hi", 100 * S, 3)
     x = f.select("recording", F.col("event_id").alias("frame_id"), F.col("start_ns").alias("frame_ns"), (F.col("label") != "error").alias("usable"))
-    return timegrid.one_use(timegrid.nearest(t, x, ["recording"], 200 * S, "usable"), ["recording"])
+    found = timegrid.one_use(timegrid.nearest(t, x, ["recording"], 200 * S, "usable"), ["recording"])
+    return found.fillna(-1, ["frame_id", "frame_ns", "delta"])
 
 
-@query(f"WITH {FRAMES}, s AS (SELECT recording, event_id AS seg_id, start_ns AS a, coalesce(lead(start_ns) OVER (PARTITION BY recording ORDER BY start_ns), {2**62}) AS z FROM f WHERE label = 'signup') SELECT event_id, seg_id FROM f LEFT JOIN s ON f.recording = s.recording AND start_ns >= a AND start_ns < z")
+@query(f"WITH {FRAMES}, s AS (SELECT recording, event_id AS seg_id, start_ns AS a, coalesce(lead(start_ns) OVER (PARTITION BY recording ORDER BY start_ns), {2**62}) AS z FROM f WHERE label = 'signup') SELECT event_id, coalesce(seg_id, -1) AS seg_id FROM f LEFT JOIN s ON f.recording = s.recording AND start_ns >= a AND start_ns < z")
 def j1_segment_lookup(spark, d):
     f = frames(spark, d)
     w = Window.partitionBy("recording").orderBy("start_ns")
     s = f.filter("label = 'signup'").select("recording", F.col("event_id").alias("seg_id"), F.col("start_ns").alias("seg_start"), F.coalesce(F.lead("start_ns").over(w), F.lit(2**62)).alias("seg_end"))
-    return timegrid.segment_lookup(f.select("recording", "event_id", "start_ns"), s, ["recording"], "start_ns").select("event_id", "seg_id")
+    return timegrid.segment_lookup(f.select("recording", "event_id", "start_ns"), s, ["recording"], "start_ns").select("event_id", "seg_id").fillna(-1)
 
 
 @query(f"WITH {FRAMES} SELECT event_id, CAST(1000 + (CAST(start_ns AS HUGEINT) - 500) * 1001 // 1000 + CASE WHEN 2 * ((CAST(start_ns AS HUGEINT) - 500) * 1001 % 1000) > 1000 OR (2 * ((CAST(start_ns AS HUGEINT) - 500) * 1001 % 1000) = 1000 AND ((CAST(start_ns AS HUGEINT) - 500) * 1001 // 1000) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS aligned_ns FROM f")
@@ -299,11 +300,11 @@ def t2_ready_queue(spark, d):
     return _work(spark, d)[0].filter("state = 'PENDING'").orderBy(F.asc("priority"), F.desc_nulls_last("cost"), "id").limit(50).select("id", "priority", "cost")
 
 
-@query("SELECT o_orderkey, o_orderstatus, l.n_lines, l.late FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, count(*) FILTER (l_returnflag = 'R') AS late FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey WHERE o_totalprice > 1000")
+@query("SELECT o_orderkey, o_orderstatus, coalesce(l.n_lines, 0) AS n_lines, coalesce(l.late, 0) AS late FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, count(*) FILTER (l_returnflag = 'R') AS late FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey WHERE o_totalprice > 1000")
 def j11_j12_committed_runs(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("late"))
     o = table(spark, d, "orders").filter("o_totalprice > 1000").select("o_orderkey", "o_orderstatus")
-    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").fillna(0, ["n_lines", "late"])
 
 
 @query(f"WITH s AS (SELECT doc_id, source, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), ['the', 'and', 'der', 'ti'])) / 4.0 AS lexical FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 5000) SELECT doc_id, source, lexical FROM s WHERE lexical > 0 ORDER BY lexical DESC, doc_id LIMIT 50 OFFSET 10")
