@@ -355,7 +355,9 @@ def fit(pages: DataFrame, *, key: str = "url", page: str = "html") -> Labeller:
     hashes lowest, labelled by the article elements they mark, and on INVENTED
     pages of invented layouts around their texts.  The same at every run."""
     rows = pages.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{page}`")).alias("_h"), F.col(f"`{page}`").alias("_p")).filter("_p is not null")
-    got = sorted((r["_p"] for r in rows.orderBy("_h").limit(SAMPLE).collect()))
+    # hashes alone are sorted; SAMPLE of them fetch their pages, one of each
+    picked = F.broadcast(rows.select("_h").distinct().orderBy("_h").limit(SAMPLE))
+    got = sorted(r["_p"] for r in rows.join(picked, "_h").groupBy("_h").agg(F.min("_p").alias("_p")).collect())
     parsed = [blocks(p) for p in got]
     texts = [b.text for found in parsed for b in found] or ["a page without any text"]
     held = [(vectors(found), y) for found in parsed if found and (y := weak_labels(found)) is not None]

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_
     picked = [rows.filter(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
     some = F.broadcast(picked[0].unionByName(picked[1]))
-    got = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(some, "_id").collect()
+    got = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(some, "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
     got.sort(key=lambda r: (r["_id"], r["_text"] or ""))
     # the sample's classes stand for as many rows as there are
     there = dict(rows.groupBy("_y").count().collect())
