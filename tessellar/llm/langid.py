@@ -130,12 +130,12 @@ def fit(docs: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([k] * (len(hit) + 1)), pa.array(np.append(hit, -1)), pa.array(np.append(v[hit], n[k]).astype(np.int64))], names=["lang", "feature", "n"])
 
     # languages x features sums at most
-    sums = got.select("_lang", "_text").mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique().tolist())
+    sums = got.select("_lang", "_text").mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    of, feature, number = np.array(sums.column("lang").to_pylist(), object), sums.column("feature").to_numpy(), sums.column("n").to_numpy()
+    langs = sorted(set(of.tolist()))
     counts, docs_of = np.zeros((1 << BITS, len(langs))), np.ones(len(langs))
     for j, k in enumerate(langs):
-        own = sums[sums["lang"] == k]
-        f, n = own["feature"].to_numpy(), own["n"].to_numpy()
+        f, n = feature[of == k], number[of == k]
         counts[f[f >= 0], j] = n[f >= 0]
         docs_of[j] = max(1, n[f < 0].sum())
     return Model(langs, counts, docs_of)

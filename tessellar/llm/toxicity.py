@@ -52,27 +52,41 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in BEGINNINGS if len(word) > k]]
 
 
-def pick_terms(texts: list[Counter], labels: list[int]) -> list[str]:
-    """Terms that go with the label, best first; of terms of which one begins
-    the other, the better (the longer, if they tell as much)."""
-    n, toxic = len(texts), sum(labels)
-    of: dict[str, list[str]] = {}
-    df, df_toxic = Counter(), Counter()
-    for c, y in zip(texts, labels, strict=True):
-        found = {t for w in c for t in of.setdefault(w, terms_of(w))}
-        df.update(found)
-        if y:
-            df_toxic.update(found)
+class _Sample:
+    """Texts as numbers of words and their counts: a sample of long texts stays small."""
+
+    def __init__(self, texts: list[str | None]):
+        self.words: dict[str, int] = {}
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in texts:
+            c = words(t)
+            ids = np.fromiter((self.words.setdefault(w, len(self.words)) for w in c), np.int32, len(c))
+            self.texts.append((ids, np.fromiter(c.values(), np.int32, len(c))))
+
+    def counts(self, i: int, names: list[str]) -> Counter:
+        return Counter({names[w]: n for w, n in zip(*(x.tolist() for x in self.texts[i]), strict=True)})
+
+
+def pick_terms(sample: _Sample, of: list[int], labels: list[int]) -> list[str]:
+    """Terms that go with the label among the texts `of`, best first; of terms of
+    which one begins the other, the better (the longer, if they tell as much)."""
+    n, toxic = len(of), sum(labels[i] for i in of)
     scored = []
-    for t, a in df_toxic.items():
-        b = df[t] - a
+    for length in (None, *BEGINNINGS):  # one kind of term after another: few strings at a time
+        names: dict[str, int] = {}
+        term = np.full(len(sample.words), -1, np.int64)
+        for w, i in sample.words.items():
+            if length is None or len(w) > length:
+                term[i] = names.setdefault(w if length is None else w[:length] + "*", len(names))
+        df = np.zeros((2, len(names) + 1))
+        for i in of:
+            df[int(labels[i] > 0), np.unique(term[sample.texts[i][0]])] += 1
+        b, a = df[0, : len(names)], df[1, : len(names)]
         c, e = toxic - a, n - toxic - b
-        if a * e > b * c:
-            chi2 = n * (a * e - b * c) ** 2 / max(1, (a + b) * (c + e) * toxic * (n - toxic))
-            if chi2 >= LEAST_CHI2:
-                scored.append((-chi2, -len(t), t))
-    kept, begun = [], set()
-    stems: set[str] = set()
+        chi2 = n * (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * toxic * (n - toxic))
+        good = (chi2 >= LEAST_CHI2) & (a * e > b * c)
+        scored += [(-float(chi2[k]), -len(t), t) for t, k in names.items() if good[k]]
+    kept, begun, stems = [], set(), set()
     for _, _, t in sorted(scored):
         stem = t.removesuffix("*")
         inner = [stem[:k] for k in range(1, len(stem) + 1)]
@@ -90,7 +104,7 @@ class Index:
     """Exact k nearest examples by TF-IDF cosine."""
 
     def __init__(self, texts: list[str | None], labels: list[int], ids: list[int] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
-        counted = [words(t) for t in texts]
+        sample = _Sample(texts)
         # copies of one text say no more of its terms than the text does
         once, ends = [], set()
         for i, text in enumerate(texts):
@@ -98,12 +112,14 @@ class Index:
             if ends.isdisjoint(own):
                 once.append(i)
             ends |= own
-        kept = pick_terms([counted[i] for i in once], [labels[i] for i in once])
+        kept = pick_terms(sample, once, labels)
         self.terms = {t: i for i, t in enumerate([*kept, *[f"#{k}" for k in SHARES]])}
         self._words: dict[str, tuple[int, ...]] = {}
         self._scores: dict[tuple, tuple[float, list[int], list[float]]] = {}
         n = len(texts)
-        found = [self.known(c) for c in counted]
+        names = list(sample.words)
+        found = [self.known(sample.counts(i, names)) for i in range(n)]
+        self._words = {}
         df = np.zeros(len(self.terms))
         for f in found:
             df[list(f)] += 1
