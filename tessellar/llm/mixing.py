@@ -138,6 +138,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
         here = tried.groupBy("s").agg(F.min_by(F.struct("bin", "off"), F.struct(F.abs(F.col("off")), F.col("bin"))).alias("c"))
         before = best.withColumnRenamed("s", "b").withColumnRenamed("off", "was")
         best = before.join(here, F.col("b").eqNullSafe(F.col("s")), "left").drop("s").select(F.col("b").alias("s"), *[f"cut{j}" for j in range(k)], F.coalesce("c.bin", F.lit(-1)).alias(f"cut{k}"), F.coalesce("c.off", "was").alias("off"))
+        best = cut(best)  # a row a source; else each level's plan would hold the one before three times
     best = best.drop("off")
     plan = goals.withColumnRenamed("source", "p").join(solved.select(F.col("source").alias("s1"), "mean", "lam"), F.col("p").eqNullSafe(F.col("s1")), "left").join(best, F.col("p").eqNullSafe(F.col("s")), "left")
     plan = cut(plan.select(F.col("p").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), "mean", "lam", *[f"cut{k}" for k in range(LEVELS)]))  # a row a source: the planner sees its size
