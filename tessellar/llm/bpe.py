@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import with_fields
+from .common import lean, with_fields
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 32_000_000
@@ -242,9 +242,9 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "decoded"][: len(columns)])
 
     shape = "block long, bucket int, blob binary"
-    table = rows.mapInArrow(name, shape).repartition(n, "bucket").mapInArrow(answer, shape)
-    met = table.unionByName(rows.mapInArrow(carry, shape)).repartition(n, "block").sortWithinPartitions("block", "bucket")
-    return met.mapInArrow(join, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded]))
+    table = rows.mapInArrow(lean(name), shape).repartition(n, "bucket").mapInArrow(lean(answer), shape)
+    met = table.unionByName(rows.mapInArrow(lean(carry), shape)).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    return met.mapInArrow(lean(join), T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded]))
 
 
 def _decoded(blobs: list[bytes | None], path: str) -> list[str]:

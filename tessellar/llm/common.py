@@ -60,6 +60,24 @@ def release(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, after which the worker gives its free memory back: workers
+    are kept for later tasks, and what they hold counts against the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def with_fields(df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.Table]], needs: dict[str, str], adds: list[tuple[str, T.DataType]]) -> DataFrame:
     """df with columns that fn computes from some of its columns, in one pass.
 
@@ -93,7 +111,7 @@ def with_fields(df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.Ta
             columns = [made.column(n).combine_chunks() if made.column(n).num_chunks != 1 else made.column(n).chunk(0) for n, _ in adds]
             yield pa.RecordBatch.from_arrays([rows.pop(0), *columns], names=["row", *[f"out_{n}" for n, _ in adds]])
 
-    out = packed.mapInArrow(run, schema)
+    out = packed.mapInArrow(lean(run), schema)
     return out.select(*[F.col("row").getField(f.name).alias(f.name) for f in kept], *[F.col(f"out_{n}").alias(n) for n, _ in adds])
 
 

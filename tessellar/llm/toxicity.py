@@ -166,6 +166,11 @@ class Index:
                     out[self.terms[f"#{k}"]] = 1
         return out
 
+    def forget(self) -> None:
+        """Empties what a task remembers; a worker outlives its tasks."""
+        self._words.clear()
+        self._scores.clear()
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (1 + ln tf) idf, of length 1."""
         if not counts:
@@ -252,6 +257,7 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", evidence: bool =
             if evidence:
                 out |= {"neighbours": pa.array([f[1] for f in found], pa.list_(pa.int64())), "cosines": pa.array([f[2] for f in found], pa.list_(pa.float64()))}
             yield pa.table(out)
+        held.value.forget()
 
     more = [("neighbours", T.ArrayType(T.LongType())), ("cosines", T.ArrayType(T.DoubleType()))] if evidence else []
     return with_fields(docs, fn, {"text": text}, [("score", T.DoubleType()), ("predicted", T.IntegerType()), *more])
