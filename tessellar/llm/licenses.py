@@ -63,6 +63,36 @@ def anchors(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def _could_reach(words: Column, least: float) -> Column:
+    """Whether a line of these words may come to `least` with any template, by
+    a bound that one pass over them gives.
+
+    The dot product is a sum over words, so it is at most that of each word's
+    largest weight.  Squares of counts are at least the counts, and the known
+    terms' part of the norm at least their sum over the root of their number.
+    """
+    _, idf, unknown, vectors = template_rows()
+    facts = F.create_map(*[F.lit(y) for w, x in idf.items() for y in (w, x)])
+    reach = F.create_map(*[F.lit(y) for w, x in idf.items() for y in (w, x * max(v.get(w, 0.0) for v in vectors))])
+
+    def add(a: Column, word: Column) -> Column:
+        w = F.lower(word)
+        is_known = w.isin(*idf)
+        weight = F.when(is_known, F.element_at(facts, w))
+        return F.struct(
+            (a["dot"] + F.when(is_known, F.element_at(reach, w)).otherwise(F.lit(0.0))).alias("dot"),
+            (a["sum"] + F.coalesce(weight, F.lit(0.0))).alias("sum"),
+            (a["known"] + F.coalesce(weight * weight, F.lit(0.0))).alias("known"),
+            (a["other"] + F.when(is_known, F.lit(0.0)).otherwise(F.lit(unknown * unknown))).alias("other"),
+        )
+
+    def done(a: Column) -> Column:
+        norm2 = F.greatest(a["known"], a["sum"] * a["sum"] / F.lit(float(len(idf)))) + a["other"]
+        return a["dot"] >= F.lit(least - 1e-6) * F.sqrt(norm2)
+
+    return F.aggregate(words, F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "sum", "known", "other")]), add, done)
+
+
 def _cosines(lines: DataFrame, key: list[str], least: float) -> DataFrame:
     """key, license, score: the best template of each line that reaches `least`."""
     rows, idf, unknown, vectors = template_rows()
@@ -71,7 +101,9 @@ def _cosines(lines: DataFrame, key: list[str], least: float) -> DataFrame:
     table = spark.createDataFrame([(w, x, *[float(v.get(w, 0.0)) for v in vectors]) for w, x in idf.items()], "term string, idf double, " + ", ".join(f"{n} double" for n in names))
     pattern = r"(?i)(?<![a-z0-9])(" + "|".join(anchors(vectors, least)) + ")(?![a-z0-9])"
     some = lines.filter(F.col("line").rlike(pattern))
-    words = some.select(*key, F.explode(F.regexp_extract_all("line", F.lit(f"({WORD})"))).alias("term"))
+    found = F.regexp_extract_all("line", F.lit(f"({WORD})"))
+    # lines that cannot reach it go before their words are shuffled
+    words = some.filter(_could_reach(found, least)).select(*key, F.explode(found).alias("term"))
     counted = words.select(*key, F.lower("term").alias("term")).groupBy(*key, "term").count()
     weighed = counted.join(F.broadcast(table), "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(unknown)))  # a few hundred rows
     dots = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(n, F.lit(0.0))).alias(n) for n in names])
