@@ -43,15 +43,16 @@ def nearest(targets: DataFrame, frames: DataFrame, keys: list[str], tolerance: i
     status SELECTED, DECODE_FAILED (only unusable ones there) or NO_FRAME.
 
     Ties go to the earlier frame, then the smaller id.  Frames and targets meet
-    in time buckets as wide as the tolerance: an equality join."""
+    in time buckets as wide as the tolerance: an equality join, merged, since
+    either side may be large."""
     width = max(1, tolerance)
     t = targets.withColumn("_b", F.explode(F.array(*[F.floor(F.col("target_ns") / width) + i for i in (-1, 0, 1)])))
     f = frames.withColumn("_b", F.floor(F.col("frame_ns") / width))
     ok = F.col(usable) if usable else F.lit(True)
     delta = F.abs(F.col("frame_ns") - F.col("target_ns"))
-    hits = t.join(f, [*keys, "_b"]).filter(delta <= tolerance)
+    hits = t.hint("merge").join(f, [*keys, "_b"]).filter(delta <= tolerance)
     best = hits.groupBy(*keys, "k").agg(F.min(F.struct((~ok).alias("bad"), delta.alias("delta"), "frame_ns", "frame_id")).alias("best"))
-    out = targets.join(best, [*keys, "k"], "left")
+    out = targets.hint("merge").join(best, [*keys, "k"], "left")
     status = F.when(F.col("best").isNull(), "NO_FRAME").when(F.col("best.bad"), "DECODE_FAILED").otherwise("SELECTED")
     return out.select(*keys, "k", "target_ns", F.col("best.frame_id").alias("frame_id"), F.col("best.frame_ns").alias("frame_ns"), F.col("best.delta").alias("delta"), status.alias("status"))
 

@@ -169,6 +169,32 @@ def j2_j3_nearest_frame(spark, d):
     return found.fillna(-1, ["frame_id", "frame_ns", "delta"])
 
 
+#: Grid of whole recordings: 100 times the step and the tolerance of the two queries above, whose SQL takes two hours of 20 recordings.
+WHOLE_STEP, WHOLE_TOLERANCE = 10_000 * S, 20_000 * S
+
+
+def _whole_targets(f: DataFrame) -> DataFrame:
+    spans = f.groupBy("recording").agg(F.min("start_ns").alias("lo"), (F.max("start_ns") + 1).alias("hi"))
+    n_parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows of many targets: dealt by number, which adaptive execution doesn't merge
+    return timegrid.grid_targets(spans.repartition(n_parts, "recording"), ["recording"], "lo", "hi", WHOLE_STEP, 3)
+
+
+@query(None)
+def grid_targets_whole(spark, d):
+    """Targets 10,000/3 s apart from the first to the last frame of every recording."""
+    return _whole_targets(frames(spark, d))
+
+
+@query(None)
+def j2_j3_nearest_frame_whole(spark, d):
+    """Each target of every recording with its nearest frame, each frame used once."""
+    f = frames(spark, d)
+    x = f.select("recording", F.col("event_id").alias("frame_id"), F.col("start_ns").alias("frame_ns"), (F.col("label") != "error").alias("usable"))
+    found = timegrid.one_use(timegrid.nearest(_whole_targets(f), x, ["recording"], WHOLE_TOLERANCE, "usable"), ["recording"])
+    return found.fillna(-1, ["frame_id", "frame_ns", "delta"])
+
+
 @query(f"WITH {FRAMES}, s AS (SELECT recording, event_id AS seg_id, start_ns AS a, coalesce(lead(start_ns) OVER (PARTITION BY recording ORDER BY start_ns), {2**62}) AS z FROM f WHERE label = 'signup') SELECT event_id, coalesce(seg_id, -1) AS seg_id FROM f LEFT JOIN s ON f.recording = s.recording AND start_ns >= a AND start_ns < z")
 def j1_segment_lookup(spark, d):
     f = frames(spark, d)
