@@ -39,6 +39,9 @@ BEGINNINGS = range(3, 9)
 #: Shares of a text's words, as powers of two, that reach a term of their own
 #: when that many of them hold a term: cosines alone forget how dense they are.
 SHARES = range(4, 11)
+#: Word shingles (their length, those kept of a text) and the share of them
+#: from which texts of one label are copies.
+SHINGLE, SKETCH, COPY = 3, 128, 0.8
 #: Distinct words, and distinct vectors, that a task remembers before it starts anew.
 MEMO = 500_000
 _WORD = re.compile(r"\w+")
@@ -67,10 +70,50 @@ class _Sample:
         return Counter({names[w]: n for w, n in zip(*(x.tolist() for x in self.texts[i]), strict=True)})
 
 
-def pick_terms(sample: _Sample, of: list[int], labels: list[int]) -> list[str]:
-    """Terms that go with the label among the texts `of`, best first; of terms of
-    which one begins the other, the better (the longer, if they tell as much)."""
-    n, toxic = len(of), sum(labels[i] for i in of)
+def _sketch(ids: np.ndarray) -> frozenset[int]:
+    """The smallest hashes of the shingles of a text's word numbers."""
+    width = max(1, min(SHINGLE, len(ids)))
+    h = np.zeros(max(0, len(ids) - width + 1), np.uint64)
+    for k in range(width):
+        h = (h ^ (ids[k : k + len(h)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return frozenset(np.unique(h * np.uint64(0xBF58476D1CE4E5B9))[:SKETCH].tolist())
+
+
+def copies(sample: _Sample, texts: list[str | None], labels: list[int]) -> list[list[int]]:
+    """Groups of texts of one label that are, as wholes, copies or near copies
+    of the group's first: words in order, by the share of common shingles."""
+    groups: list[list[int]] = []
+    sketches: list[frozenset[int]] = []
+    holders: dict[tuple[int, int], list[int]] = {}
+    same: dict[tuple[int, frozenset[int]], int] = {}
+    for i, text in enumerate(texts):
+        found = _WORD.findall((text or "").lower())
+        own = _sketch(np.fromiter((sample.words[w] for w in found), np.int64, len(found)))
+        g = same.get((labels[i], own))
+        if g is None:
+            shared = Counter(h for x in own for h in holders.get((labels[i], x), ()))
+            for h, _ in shared.most_common():
+                union = sorted(own | sketches[h])[:SKETCH]
+                if sum(x in own and x in sketches[h] for x in union) >= COPY * len(union):
+                    g = h
+                    break
+        if g is None:
+            g = len(groups)
+            groups.append([])
+            sketches.append(own)
+            for x in own:
+                holders.setdefault((labels[i], x), []).append(g)
+        same.setdefault((labels[i], own), g)
+        groups[g].append(i)
+    return groups
+
+
+def pick_terms(sample: _Sample, of: list[list[int]], labels: list[int]) -> list[str]:
+    """Terms that go with the label among the groups `of`, best first; a group
+    holds the terms of all its texts, each once.  Of terms of which one begins
+    the other, the better (the longer, if they tell as much)."""
+    n, toxic = len(of), sum(labels[g[0]] for g in of)
     scored = []
     for length in (None, *BEGINNINGS):  # one kind of term after another: few strings at a time
         names: dict[str, int] = {}
@@ -79,8 +122,8 @@ def pick_terms(sample: _Sample, of: list[int], labels: list[int]) -> list[str]:
             if length is None or len(w) > length:
                 term[i] = names.setdefault(w if length is None else w[:length] + "*", len(names))
         df = np.zeros((2, len(names) + 1))
-        for i in of:
-            df[int(labels[i] > 0), np.unique(term[sample.texts[i][0]])] += 1
+        for g in of:
+            df[int(labels[g[0]] > 0), np.unique(np.concatenate([term[sample.texts[i][0]] for i in g]))] += 1
         b, a = df[0, : len(names)], df[1, : len(names)]
         c, e = toxic - a, n - toxic - b
         chi2 = n * (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * toxic * (n - toxic))
@@ -106,13 +149,7 @@ class Index:
     def __init__(self, texts: list[str | None], labels: list[int], ids: list[int] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
         sample = _Sample(texts)
         # copies of one text say no more of its terms than the text does
-        once, ends = [], set()
-        for i, text in enumerate(texts):
-            own = {(0, (text or "")[:64]), (1, (text or "")[-64:])}
-            if ends.isdisjoint(own):
-                once.append(i)
-            ends |= own
-        kept = pick_terms(sample, once, labels)
+        kept = pick_terms(sample, copies(sample, texts, labels), labels)
         self.terms = {t: i for i, t in enumerate([*kept, *[f"#{k}" for k in SHARES]])}
         self._words: dict[str, tuple[int, ...]] = {}
         self._scores: dict[tuple, tuple[float, list[int], list[float]]] = {}
