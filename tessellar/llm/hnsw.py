@@ -6,7 +6,8 @@ layer one flat array of neighbour numbers.  Vectors are inserted, and queries
 searched, many at a time: every query of a batch walks its own beam, but each
 step of all of them is one gather and one product.  Largest inner product
 becomes nearest distance by one more coordinate, sqrt(M^2 - |x|^2), which is 0
-for a query.  Each query block visits every shard; the shards' best are merged.
+for a query.  Equal vectors of a shard are one node, which stands for all their
+rows.  Each query block visits every shard; the shards' best are merged.
 """
 
 from __future__ import annotations
@@ -201,6 +202,46 @@ class Graph:
         return self._beam(q, at[:, None], 0, min(ef, len(self.x)))[0]
 
 
+class Rows:
+    """A shard's rows: one graph node a distinct vector, and the ids of each in order."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")  # rows come in any order; graphs don't
+        ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # -0.0 is 0.0
+        _, first, node = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+        rank = np.argsort(np.argsort(first))
+        node = rank[node.ravel()]
+        self.x = x[np.sort(first)]
+        self.ids = ids[np.argsort(node, kind="stable")]
+        self.count = np.bincount(node)
+        self.begin = np.cumsum(self.count) - self.count
+        #: rows of one id, at most
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max())
+        self.graph = Graph(self.x)
+
+    def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of each query's k best rows but its own."""
+        most = k + self.repeats  # so many rows hold k others
+        found = self.graph.search(q, max(ef, most))
+        score = np.einsum("qd,qkd->qk", q, self.x[found])
+        size = np.where(found >= 0, np.minimum(self.count[found], most), 0)
+        order = np.argsort(np.where(found >= 0, -score, np.inf), axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(size, order, 1), axis=1) < most
+        last = np.take_along_axis(order, np.minimum(before.sum(axis=1), order.shape[1] - 1)[:, None], 1)
+        # nodes after the last one needed come in only if as near
+        enough = ~before[:, -1:]
+        r, c = np.nonzero((size > 0) & (~enough | (score >= np.take_along_axis(score, last, 1))))
+        n = size[r, c]
+        at = np.repeat(self.begin[found[r, c]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, ids, s = np.repeat(r, n), self.ids[at], np.repeat(score[r, c], n)
+        other = ids != q_ids[row]
+        row, ids, s = row[other], ids[other], s[other]
+        order = np.lexsort((ids, -s, row))
+        row, ids, s = row[order], ids[order], s[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[best], ids[best], s[best]
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k nearest found.
 
@@ -237,34 +278,24 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id"
     data = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), "dim", F.lit(0).alias("kind"), "vec_id", F.lit(None).cast("binary").alias("ids"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors, graph = None, [], [], None
+        key, ids, vectors, held = None, [], [], None
         for b in batches:
             shard, dim, kind = (b.column(i).to_pylist() for i in range(3))
             for i in range(b.num_rows):
                 if (shard[i], dim[i]) != key:
-                    key, ids, vectors, graph = (shard[i], dim[i]), [], [], None
+                    key, ids, vectors, held = (shard[i], dim[i]), [], [], None
                 if kind[i] == 0:
                     ids.append(b.column(3)[i].as_py())
                     vectors.append(b.column(5)[i].as_py())
                     continue
                 if not ids:
                     continue
-                if graph is None:
-                    own = np.array(ids)
-                    x = np.frombuffer(b"".join(vectors), np.float64 if wide else np.float32).reshape(len(ids), -1).astype(np.float64)
-                    order = np.argsort(own, kind="stable")  # rows come in any order; graphs don't
-                    own, x = own[order], x[order]
-                    graph = Graph(x)
+                if held is None:
+                    held = Rows(np.array(ids), np.frombuffer(b"".join(vectors), np.float64 if wide else np.float32).reshape(len(ids), -1).astype(np.float64))
                 q_ids = np.frombuffer(b.column(4)[i].as_py(), np.int64)
                 q = np.frombuffer(b.column(5)[i].as_py(), np.float64).reshape(len(q_ids), -1)
-                found = graph.search(q, max(ef, k + 1))
-                score = np.einsum("qd,qkd->qk", q, x[found])
-                bad = (found < 0) | (own[found] == q_ids[:, None])
-                order = np.lexsort((own[found], -score, bad), axis=1)[:, :k]
-                ok = ~np.take_along_axis(bad, order, 1)
-                r, c = np.nonzero(ok)
-                pick = order[r, c]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(own[found[r, pick]]), pa.array(score[r, pick])], names=["query_id", "vec_id", "score"])
+                r, near, score = held.nearest(q_ids, q, k, ef)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     met = data.unionByName(blocks).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "dim", "kind")
     got = met.mapInArrow(run, "query_id long, vec_id long, score double")
