@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
 Every line of a file is compared with licence templates by TF-IDF cosine; a
-licence file (by its name) is compared as a whole, too.  A file's own licence
-is that of its best line.  Files without one take that of the licence file in
+licence file (by its name) is compared as a whole, too.  Beside that, notices, phrases
+of standard headers and titles of full licence texts are sought as windows of
+running words, whatever stands around them and however lines are wrapped.
+A file's own licence is that of its best line or window.  Files without one take that of the licence file in
 the nearest ancestor directory, found by an equality join on directory paths.
 Everything is DataFrame operations.
 """
@@ -30,6 +32,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
 }
+#: Phrases of standard headers, and openings of full licence texts, beside the notices.
+PHRASES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (
+        "under the GNU Affero General Public License, version 3", "GNU Affero General Public License Version 3, 19 November 2007",
+        "GNU Affero General Public License as published by the Free Software Foundation, either version 3", "GNU Affero General Public License as published by the Free Software Foundation, version 3",
+        "GNU Affero General Public License version 3 as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0",
+    ),
+    "Apache-2.0": ("under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "CC-BY-4.0": ("under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-NC-4.0": ("under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "GPL-3.0": (
+        "under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007",
+        "GNU General Public License as published by the Free Software Foundation, either version 3", "GNU General Public License as published by the Free Software Foundation, version 3",
+        "GNU General Public License version 3 as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0",
+    ),
+    "MIT": ("under the MIT License",),
+    "MPL-2.0": ("terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0 1. Definitions", "SPDX-License-Identifier: MPL-2.0"),
+}
 LEAST = 0.75
 WORD = "[A-Za-z0-9]+"
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([._-].*)?$"
@@ -111,6 +131,23 @@ def _cosines(lines: DataFrame, key: list[str], least: float) -> DataFrame:
     return dots.select(*key, F.array_max(scored).alias("best")).select(*key, "best.license", "best.score").filter(F.col("score") >= least)
 
 
+def window_pattern(phrases: tuple[str, ...]) -> str:
+    """Matches any of the phrases as running words, with any signs between them."""
+    each = {"[^a-z0-9]+".join(w.lower() for w in re.findall(WORD, p)) for p in phrases}
+    return "(?i)(?<![a-z0-9])(" + "|".join(sorted(each)) + ")(?![a-z0-9])"
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """path, license, score: licences of which a text holds a notice or phrase
+    word for word.  A reservation of rights beside a licence says nothing."""
+    some = rows.filter(F.col("text").rlike("(?i)" + "licen[cs]e|rights[^a-z0-9]+reserved|redistribution|permission|under[^a-z0-9]+cc"))
+    rights = "All-Rights-Reserved"
+    hit = {k: F.col("text").rlike(window_pattern((*TEMPLATES.get(k, ()), *PHRASES.get(k, ())))) for k in sorted({*TEMPLATES, *PHRASES})}
+    named = some.withColumn("found", F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in hit.items() if k != rights])))
+    found = F.when(F.size("found") > 0, F.col("found")).when(hit[rights], F.array(F.lit(rights)))
+    return named.select("path", F.explode(found).alias("license"), F.lit(1.0).alias("score"))
+
+
 def _directory(path: Column) -> Column:
     """The path's directory, "" at the top."""
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
@@ -119,8 +156,8 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """path, license, score, how and from_path of each distinct path.
 
-    how: "own" (a line or, for a licence file, the whole text reaches `least`;
-    the best score, ties to the licence's later name), "inherited" (of the
+    how: "own" (a line or, for a licence file, the whole text reaches `least`,
+    or a window of running words is a notice or phrase, score 1; the best score, ties to the licence's later name), "inherited" (of the
     licence file in the nearest ancestor directory, the file's own included;
     of several there the best score, then the smallest path; the score is that
     file's) or "none" (null license, score 0).  A null or empty text has no
@@ -133,7 +170,7 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: flo
     by_line = _cosines(lines, ["path", "line_no"], least).select("path", "license", "score")
     is_license = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)
     by_file = _cosines(rows.filter(is_license).select("path", F.lit(-1).alias("line_no"), F.col("text").alias("line")), ["path", "line_no"], least).select("path", "license", "score")
-    own = by_line.unionByName(by_file).groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
+    own = by_line.unionByName(by_file).unionByName(_windows(rows)).groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
     own = own.select("path", "best.license", "best.score")
     paths = rows.select("path").distinct().withColumn("dir", _directory(F.col("path")))
     paths = cut(paths.join(own, "path", "left"))  # read three times below
