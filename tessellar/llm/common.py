@@ -78,17 +78,21 @@ def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
+def same_name(name: str, others: list[str]) -> bool:
+    """Whether a column's name is one of the others, case aside, as Spark compares them by default."""
+    return name.lower() in {o.lower() for o in others}
+
+
 def with_fields(df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.Table]], needs: dict[str, str], adds: list[tuple[str, T.DataType]]) -> DataFrame:
     """df with columns that fn computes from some of its columns, in one pass.
 
     fn maps an iterator of tables holding the columns `needs` (new name ->
     df's name) to an iterator of tables of as many rows holding the columns
     `adds`.  Every other column passes through as it is; a column of df named
-    like an added one is replaced.
+    like an added one (whatever the case, if the session doesn't tell) is replaced.
     """
     ship(df.sparkSession)
-    added = {n for n, _ in adds}
-    kept = [f for f in df.schema.fields if f.name not in added]
+    kept = [f for f in df.schema.fields if not same_name(f.name, [n for n, _ in adds])]
     packed = df.select(
         F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row") if kept else F.lit(1).alias("row"),
         *[F.col(f"`{src}`").alias(f"in_{k}") for k, src in needs.items()],
@@ -220,14 +224,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join; a table in the shared folder ends the lineage of each round.  The
     grouped minimum combines before the shuffle and adaptive execution splits
     the skewed side of the join, so a node with very many links is no one
-    task's burden.  No links at all give an empty table.
+    task's burden.  No links at all give an empty table; a graph that hasn't
+    settled after `rounds` is an error (the steps settle in about the logarithm
+    of its size).
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    for k in range(rounds + 1):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
+        if k == rounds:
+            raise RuntimeError(f"components haven't settled in {rounds} rounds")
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -27,6 +27,8 @@ SAMPLE, BITS, SIZES = 512, 16, (1, 2, 3)
 SMOOTH = 0.1
 #: Characters that are scored at once.
 PIECE = 400_000
+#: Parts of a language's rows that are looked through side by side for the sample.
+PARTS = 64
 UNKNOWN = "und"
 
 
@@ -45,7 +47,7 @@ def _features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     matrix by rows.  A document may go on in the next piece."""
     letters = _letters()
     sizes = max(SIZES)
-    docs, parts, size = [], [], 0
+    docs, parts, before, size = [], [], [], 0
 
     def piece():
         lens = np.array([len(p) for p in parts])
@@ -56,27 +58,31 @@ def _features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         cols = []
         end = np.repeat(begins + lens, lens)
         at = np.arange(len(c))
+        told = np.repeat(begins + np.array(before), lens)  # up to here the piece before has them
+        blank = np.ones(len(c), bool)
         for n in range(1, sizes + 1):
             shifted = np.zeros_like(c)
             shifted[: len(c) - n + 1] = c[n - 1 :]
             h = (h ^ shifted) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
+            blank &= shifted == 32
             if n in SIZES:
                 # an n-gram of spaces only says nothing, nor one across a document's end
-                cols.append(np.where(at + n <= end, (h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - BITS), 1 << BITS))
+                cols.append(np.where((at + n <= end) & (at + n > told) & ~blank, (h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - BITS), 1 << BITS))
         return np.array(docs), begins * len(cols), np.stack(cols, axis=1).ravel()
 
     for i, text in enumerate(texts):
         codes = _codes(text)
         for at in range(0, len(codes), PIECE):
-            # pieces of a document overlap, so that no n-gram is lost between them; short ones counted twice are few
-            part = codes[max(0, at - sizes + 1) if at else 0 : at + PIECE]
+            # pieces of a document overlap, so that no n-gram is lost between them
+            part = codes[max(0, at - sizes + 1) : at + PIECE]
             docs.append(i)
+            before.append(at - max(0, at - sizes + 1))
             parts.append(part)
             size += len(part)
             if size >= PIECE:
                 yield piece()
-                docs, parts, size = [], [], 0
+                docs, parts, before, size = [], [], [], 0
     if parts:
         yield piece()
 
@@ -110,8 +116,11 @@ def fit(docs: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id",
     the sample.  The model holds 2^BITS + 1 numbers for each language."""
     rows = docs if learn is None else docs.filter(learn)
     rows = rows.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang")).dropna()
-    lowest = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = rows.withColumn("_n", F.row_number().over(lowest)).filter(F.col("_n") <= SAMPLE).select("_id", "_lang").distinct()
+    # lowest of parts of a language first, so that no task gets a frequent language's rows of all tasks
+    rows = rows.withColumn("_h", F.xxhash64("_id")).withColumn("_part", F.pmod(F.hash("_id"), F.lit(PARTS)))
+    for keys in (["_lang", "_part"], ["_lang"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "_id"))).filter(F.col("_n") <= SAMPLE).drop("_n")
+    picked = rows.select("_id", "_lang").distinct()
     got = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang")).join(F.broadcast(picked), ["_id", "_lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

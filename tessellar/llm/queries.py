@@ -53,8 +53,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_mod(F.col("doc_id"), 5) == 0
     index = toxicity.fit(docs, _read(spark, sf_dir, "labels"), learn=~held_out)
-    scored = toxicity.score(docs, index)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = toxicity.score(docs, index, evidence=True)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "neighbours", "cosines", "their_labels")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def clusters(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, most_bits: int = 4) -> DataFrame:
     """The rows of docs of which no other is a near-duplicate with a smaller
     doc_id; of repeated rows with one doc_id, one stays.  Rows with null ids stay."""
-    kept = clusters(docs, doc_id=doc_id, text=text, words=words, most_bits=most_bits)
-    kept = kept.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter(F.col(f"`{doc_id}`").isNotNull())
-    return named.join(kept, F.col(f"`{doc_id}`") == F.col("kept_id"), "left_semi").dropDuplicates([doc_id]).unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    found = clusters(docs, doc_id=doc_id, text=text, words=words, most_bits=most_bits)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = docs.filter(F.col(f"`{doc_id}`").isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))

@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled texts is kept as TF-IDF vectors over the terms
-(words, and word beginnings, since abuse is inflected) that go with the label
-by the chi-square of their document counts.  An inverted index
-holds each term's postings by example, and the largest weight of each term in
-each block of examples.  For a text, the sum of query weight times block
-maximum bounds the cosine of every example of a block; blocks are scored in
-falling order of their bounds until none left can reach the k nearest found,
-so the k nearest are exact.  They vote, each with its cosine; an even weight of
-the sample's own share of toxic texts keeps weak evidence near that share.
+A bounded sample of labelled texts is kept as TF-IDF vectors over all of their
+words; a term's idf is scaled by how much the word goes with the label (its
+squared phi coefficient), so that words that tell come first and none is left
+out.  An inverted index holds each term's postings by example, and for terms of
+long postings the largest weight in each block of examples.  For a text, the
+postings of rare terms are summed; these sums and the block maxima of the other
+terms bound the cosines of each block, and blocks whose bound can't reach the k
+nearest found are skipped.  Cosines of the nearest are then told in double
+precision, so the k nearest are exact.  They vote, each with its cosine; a
+logistic curve, fitted on a part of the sample that an index of the rest
+scores, turns votes into probabilities.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,26 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_fields
+from ..shipping import ship
+from .common import lean, with_fields
 
 #: Labelled rows of each class that are learnt from, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1024, 2048
-#: Chi-square (one degree of freedom) from which a term goes with the label.
-LEAST_CHI2 = 20.0
-#: Terms kept, at most, those of the largest chi-square; neighbours; weight of the prior.
-MOST_TERMS, NEIGHBOURS, PRIOR_WEIGHT = 1024, 16, 0.5
-#: Examples of a block of the index.
-BLOCK = 64
-#: Lengths of the word beginnings that are terms beside the words.
-BEGINNINGS = range(3, 9)
-#: Shares of a text's words, as powers of two, that reach a term of their own
-#: when that many of them hold a term: cosines alone forget how dense they are.
-SHARES = range(4, 11)
+#: Neighbours; weight of the prior; part of the sample that calibrates (one in so many).
+NEIGHBOURS, PRIOR_WEIGHT, PARTS = 16, 0.5, 4
+#: Examples of a block of the index; examples from which a term has block maxima.
+BLOCK, LONG = 64, 128
+#: Share of its idf that a term keeps though it says nothing of the label.
+FLOOR = 1e-4
 #: Word shingles (their length, those kept of a text) and the share of them
 #: from which texts of one label are copies.
 SHINGLE, SKETCH, COPY = 3, 128, 0.8
-#: Distinct words, and distinct vectors, that a task remembers before it starts anew.
-MEMO = 500_000
+#: Texts that are scored at once.
+BATCH = 64
 _WORD = re.compile(r"\w+")
 
 
@@ -51,57 +49,43 @@ def words(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *[word[:k] + "*" for k in BEGINNINGS if len(word) > k]]
+def sketch(text: str | None) -> list[int]:
+    """The smallest hashes of the shingles of a text's words, as signed longs."""
+    from xxhash import xxh64_intdigest
 
-
-class _Sample:
-    """Texts as numbers of words and their counts: a sample of long texts stays small."""
-
-    def __init__(self, texts: list[str | None]):
-        self.words: dict[str, int] = {}
-        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in texts:
-            c = words(t)
-            ids = np.fromiter((self.words.setdefault(w, len(self.words)) for w in c), np.int32, len(c))
-            self.texts.append((ids, np.fromiter(c.values(), np.int32, len(c))))
-
-    def counts(self, i: int, names: list[str]) -> Counter:
-        return Counter({names[w]: n for w, n in zip(*(x.tolist() for x in self.texts[i]), strict=True)})
-
-
-def _sketch(ids: np.ndarray) -> frozenset[int]:
-    """The smallest hashes of the shingles of a text's word numbers."""
+    found = _WORD.findall((text or "").lower())
+    ids = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in found), np.uint64, len(found))
     width = max(1, min(SHINGLE, len(ids)))
     h = np.zeros(max(0, len(ids) - width + 1), np.uint64)
     for k in range(width):
-        h = (h ^ (ids[k : k + len(h)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ ids[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return frozenset(np.unique(h * np.uint64(0xBF58476D1CE4E5B9))[:SKETCH].tolist())
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))[:SKETCH].view(np.int64).tolist()
 
 
-def copies(sample: _Sample, texts: list[str | None], labels: list[int]) -> list[list[int]]:
+def copies(sketches: list[list[int]], labels: list[int]) -> list[list[int]]:
     """Groups of texts of one label that are, as wholes, copies or near copies
     of the group's first: words in order, by the share of common shingles."""
     groups: list[list[int]] = []
-    sketches: list[frozenset[int]] = []
+    heads: list[frozenset[int]] = []
     holders: dict[tuple[int, int], list[int]] = {}
     same: dict[tuple[int, frozenset[int]], int] = {}
-    for i, text in enumerate(texts):
-        found = _WORD.findall((text or "").lower())
-        own = _sketch(np.fromiter((sample.words[w] for w in found), np.int64, len(found)))
+    for i, s in enumerate(sketches):
+        own = frozenset(x % (1 << 64) for x in s)
         g = same.get((labels[i], own))
         if g is None:
             shared = Counter(h for x in own for h in holders.get((labels[i], x), ()))
-            for h, _ in shared.most_common():
-                union = sorted(own | sketches[h])[:SKETCH]
-                if sum(x in own and x in sketches[h] for x in union) >= COPY * len(union):
+            for h, both in shared.most_common():
+                if both < COPY * len(own):
+                    break
+                union = sorted(own | heads[h])[:SKETCH]
+                if sum(x in own and x in heads[h] for x in union) >= COPY * len(union):
                     g = h
                     break
         if g is None:
             g = len(groups)
             groups.append([])
-            sketches.append(own)
+            heads.append(own)
             for x in own:
                 holders.setdefault((labels[i], x), []).append(g)
         same.setdefault((labels[i], own), g)
@@ -109,147 +93,162 @@ def copies(sample: _Sample, texts: list[str | None], labels: list[int]) -> list[
     return groups
 
 
-def pick_terms(sample: _Sample, of: list[list[int]], labels: list[int]) -> list[str]:
-    """Terms that go with the label among the groups `of`, best first; a group
-    holds the terms of all its texts, each once.  Of terms of which one begins
-    the other, the better (the longer, if they tell as much)."""
-    n, toxic = len(of), sum(labels[g[0]] for g in of)
-    scored = []
-    for length in (None, *BEGINNINGS):  # one kind of term after another: few strings at a time
-        names: dict[str, int] = {}
-        term = np.full(len(sample.words), -1, np.int64)
-        for w, i in sample.words.items():
-            if length is None or len(w) > length:
-                term[i] = names.setdefault(w if length is None else w[:length] + "*", len(names))
-        df = np.zeros((2, len(names) + 1))
-        for g in of:
-            df[int(labels[g[0]] > 0), np.unique(np.concatenate([term[sample.texts[i][0]] for i in g]))] += 1
-        b, a = df[0, : len(names)], df[1, : len(names)]
-        c, e = toxic - a, n - toxic - b
-        chi2 = n * (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * toxic * (n - toxic))
-        good = (chi2 >= LEAST_CHI2) & (a * e > b * c)
-        scored += [(-float(chi2[k]), -len(t), t) for t, k in names.items() if good[k]]
-    kept, begun, stems = [], set(), set()
-    for _, _, t in sorted(scored):
-        stem = t.removesuffix("*")
-        inner = [stem[:k] for k in range(1, len(stem) + 1)]
-        if stem in begun or not stems.isdisjoint(inner):
-            continue
-        kept.append(t)
-        stems.add(stem)
-        begun.update(inner)
-        if len(kept) == MOST_TERMS:
-            break
-    return kept
+class Index:
+    """Exact k nearest examples by TF-IDF cosine.
 
+    found: words and their counts of each example; groups: which of them are
+    copies (each its own, if not told), whose words count once in a term's weight.
+    """
 
-class Index:
-    """Exact k nearest examples by TF-IDF cosine."""
-
-    def __init__(self, texts: list[str | None], labels: list[int], ids: list[int] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
-        sample = _Sample(texts)
-        # copies of one text say no more of its terms than the text does
-        kept = pick_terms(sample, copies(sample, texts, labels), labels)
-        self.terms = {t: i for i, t in enumerate([*kept, *[f"#{k}" for k in SHARES]])}
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._scores: dict[tuple, tuple[float, list[int], list[float]]] = {}
-        n = len(texts)
-        names = list(sample.words)
-        found = [self.known(sample.counts(i, names)) for i in range(n)]
-        self._words = {}
-        df = np.zeros(len(self.terms))
-        for f in found:
-            df[list(f)] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        vectors = [self.vector(f) for f in found]
+    def __init__(self, found: list[dict[str, int]], labels: list[int], ids: list[int] | None = None, groups: list[list[int]] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
+        n = len(found)
+        self.terms: dict[str, int] = {}
+        sets = [np.fromiter((self.terms.setdefault(w, len(self.terms)) for w in c), np.int64, len(c)) for c in found]
+        size = len(self.terms)
+        groups = groups if groups is not None else [[i] for i in range(n)]
+        df = np.zeros((2, size))
+        for g in groups:
+            df[int(labels[g[0]] > 0), np.unique(np.concatenate([sets[i] for i in g]))] += 1
+        toxic, all_ = sum(labels[g[0]] > 0 for g in groups), len(groups)
+        b, a = df
+        c, e = toxic - a, all_ - toxic - b
+        phi2 = (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * toxic * (all_ - toxic))
+        self.idf = (np.log((1 + all_) / (1 + a + b)) + 1) * (FLOOR + phi2)
+        vectors = [self._unit(s, np.fromiter(x.values(), float, len(x))) for s, x in zip(sets, found, strict=True)]
         # examples with the same strongest term stand together, which keeps the bounds of blocks low
-        order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
-        self.labels = np.array([labels[i] for i in order], float)
+        order = sorted(range(n), key=lambda i: (int(sets[i][vectors[i].argmax()]) if len(sets[i]) else -1, i))
+        self.labels = np.array([labels[i] > 0 for i in order], float)
         self.ids = np.array([ids[i] if ids and ids[i] is not None else -1 for i in order], np.int64)
         self.weights = np.where(self.labels > 0, weights[1], weights[0])
         self.prior = float(prior if prior is not None else self.labels.mean() if n else 0.0)
-        self.blocks = max(1, math.ceil(n / BLOCK))
-        self.block_max = np.zeros((len(self.terms), self.blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for i, at in enumerate(order):
-            for t, w in zip(*vectors[at], strict=True):
-                postings[t].append((i, w))
-        self.at, self.weight, self.begins = [], [], []
-        for t, p in enumerate(postings):
-            i, w = np.array([x for x, _ in p], np.int64), np.array([x for _, x in p])
-            np.maximum.at(self.block_max[t], i // BLOCK, w)
-            self.at.append(i)
-            self.weight.append(w)
-            self.begins.append(np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK))
-
-    def known(self, counts: Counter) -> dict[int, int]:
-        """Counts of the index's terms, by number, given those of all words."""
-        out: dict[int, int] = {}
-        memo, hits = self._words, 0
-        for w, n in counts.items():
-            found = memo.get(w)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = memo[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-            if found:
-                hits += n
-                for t in found:
-                    out[t] = out.get(t, 0) + n
-        if hits:
-            share = hits / counts.total()
-            for k in SHARES:
-                if share >= 2.0**-k:
-                    out[self.terms[f"#{k}"]] = 1
+        self.curve = (1.0, 0.0)
+        # examples' vectors one after another, then the same by term
+        lens = np.array([len(sets[i]) for i in order], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(lens)])
+        self.of = np.concatenate([sets[i] for i in order]) if n else np.empty(0, np.int64)
+        self.weight = np.concatenate([vectors[i] for i in order]) if n else np.empty(0)
+        example = np.repeat(np.arange(n), lens)
+        by_term = np.argsort(self.of, kind="stable")
+        count = np.bincount(self.of, minlength=size)
+        long = count >= LONG
+        self.dense = np.full(size, -1, np.int64)  # a long term's row in the dense part
+        self.dense[long] = np.arange(long.sum())
+        self.blocks = max(1, -(-n // BLOCK))
+        self.columns = np.zeros((int(long.sum()), self.blocks * BLOCK), np.float32)
+        in_dense = long[self.of]
+        self.columns[self.dense[self.of[in_dense]], example[in_dense]] = self.weight[in_dense]
+        self.block_max = self.columns.reshape(len(self.columns), self.blocks, BLOCK).max(axis=2) if long.any() else np.zeros((0, self.blocks), np.float32)
+        short = by_term[~long[self.of[by_term]]]
+        self.posting, self.posted = example[short].astype(np.int32), self.weight[short].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.where(long, 0, count))])
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights (1 + ln tf) idf, of length 1."""
+        v = (1 + np.log(counts)) * self.idf[terms]
+        return v / np.sqrt((v * v).sum()) if len(v) else v
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and weights of a text, of length 1, in the terms' order."""
+        known = self.terms.get
+        t = np.array([known(w, -1) for w in counts], np.int64)
+        n = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(t)[int((t < 0).sum()) :]
+        return t[order], self._unit(t[order], n[order])
+
+    def nearest(self, given: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Examples and cosines above 0 of each vector's k nearest, nearest
+        first, equally near ones in the examples' order."""
+        n, wide = len(given), self.blocks * BLOCK
+        q = np.zeros((n, len(self.columns)), np.float32)
+        near = np.zeros((n, wide), np.float32)
+        for i, (t, v) in enumerate(given):
+            d = self.dense[t]
+            q[i, d[d >= 0]] = v[d >= 0]
+            t, v = t[d < 0], v[d < 0]
+            size = self.starts[t + 1] - self.starts[t]
+            at = np.repeat(self.starts[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            near[i] = np.bincount(self.posting[at], np.repeat(v, size) * self.posted[at], minlength=wide)
+        bound = near.reshape(n, self.blocks, BLOCK).max(axis=2) + q @ self.block_max + np.float32(1e-5)
+        least = np.full(n, -np.inf, np.float32)
+        best = np.full((n, 0), 0, np.float32)
+        scored = np.zeros((n, self.blocks), bool)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            go = np.flatnonzero(bound[:, b] > least)
+            if not len(go):
+                continue
+            block = slice(b * BLOCK, (b + 1) * BLOCK)
+            near[go, block] += q[go] @ self.columns[:, block]
+            scored[go, b] = True
+            new = np.full((n, BLOCK), -np.inf, np.float32)
+            new[go] = near[go, block]
+            best = np.concatenate([best, new], axis=1)
+            if best.shape[1] > k:
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+                least = best.min(axis=1) - np.float32(2e-5)
+        out = []
+        near[np.repeat(~scored, BLOCK, axis=1)] = -np.inf
+        full = np.zeros(len(self.idf))
+        for i, (t, v) in enumerate(given):
+            some = np.flatnonzero((near[i] > 0) & (near[i] >= least[i]))
+            some = some[some < len(self.labels)]
+            full[t] = v
+            size = self.begins[some + 1] - self.begins[some]
+            if len(some):
+                first = np.cumsum(size) - size
+                at = np.repeat(self.begins[some] - first, size) + np.arange(size.sum())
+                cosine = np.add.reduceat(self.weight[at] * full[self.of[at]], first)
+            else:
+                cosine = np.empty(0)
+            full[t] = 0
+            order = np.argsort(-cosine, kind="stable")[:k]
+            out.append((some[order], cosine[order]))
         return out
 
-    def forget(self) -> None:
-        """Empties what a task remembers; a worker outlives its tasks."""
-        self._words.clear()
-        self._scores.clear()
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights (1 + ln tf) idf, of length 1."""
-        if not counts:
-            return np.empty(0, int), np.empty(0)
-        t = np.fromiter(counts, np.int64, len(counts))
-        v = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
-        return t, v / np.sqrt((v * v).sum())
-
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines above 0 of the k nearest, nearest first; of
-        equally near ones those in blocks of higher bounds, then the first."""
-        t, q = self.vector(counts)
-        best_i, best_s = np.empty(0, int), np.empty(0)
-        if not len(t):
-            return best_i, best_s
-        bound = q @ self.block_max[t]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] <= best_s[-1]:
-                break
-            score = np.zeros(BLOCK)
-            for term, w in zip(t, q, strict=True):
-                lo, hi = self.begins[term][b : b + 2]
-                score[self.at[term][lo:hi] - b * BLOCK] += w * self.weight[term][lo:hi]
-            hit = np.flatnonzero(score)
-            i, s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, score[hit]])
-            order = np.argsort(-s, kind="stable")[:k]
-            best_i, best_s = i[order], s[order]
-        return best_i, best_s
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score of the text, and its evidence: the ids of the neighbours and their cosines."""
-        counts = self.known(words(text))
-        key = tuple(sorted(counts.items()))
-        held = self._scores.get(key)
-        if held is None:
-            if len(self._scores) >= MEMO // 10:
-                self._scores.clear()
-            i, s = self.nearest(counts)
-            vote = s * self.weights[i]
-            score = (vote @ self.labels[i] + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)
-            held = self._scores[key] = float(score), self.ids[i].tolist(), s.tolist()
-        return held
+    def evidence(self, found: list[dict[str, int]]) -> list[tuple[float, list[int], list[float], list[int]]]:
+        """Of each text the log odds of the votes, and the ids, cosines and labels of its neighbours."""
+        out = []
+        for at in range(0, len(found), BATCH):
+            for i, s in self.nearest([self.vector(c) for c in found[at : at + BATCH]]):
+                vote, y = s * self.weights[i], self.labels[i]
+                odds = np.log((vote @ y + PRIOR_WEIGHT * max(self.prior, 1e-6)) / (vote @ (1 - y) + PRIOR_WEIGHT * max(1 - self.prior, 1e-6)))
+                out.append((float(odds), self.ids[i].tolist(), s.tolist(), y.astype(int).tolist()))
+        return out
+
+    def probability(self, odds: np.ndarray) -> np.ndarray:
+        slope, base = self.curve
+        return 1 / (1 + np.exp(-np.clip(slope * odds + base, -500, 500))) if len(self.labels) else np.zeros(len(odds))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and base of the logistic curve of least log loss, by Newton steps;
+    a weak pull towards (1, 0) keeps it finite where the classes don't overlap."""
+    beta = np.array([1.0, 0.0])
+    a = np.stack([x, np.ones(len(x))], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ beta, -500, 500)))
+        pull = beta - [1.0, 0.0]
+        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.eye(2), a.T @ (w * (p - y)) + pull)
+        beta -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(beta[0], 1e-3)), float(beta[1])
+
+
+def learn_index(found: list[dict[str, int]], labels: list[int], ids: list[int], sketches: list[list[int]], weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None) -> Index:
+    """An index whose curve is fitted on the examples of one part of the copy
+    groups, by hash of the group's id, scored by an index of the others."""
+    groups = copies(sketches, labels)
+    index = Index(found, labels, ids, groups, weights, prior)
+    held = [g for g in groups if zlib.crc32(str(ids[g[0]]).encode()) // 7 % PARTS == 0]
+    rest = [g for g in groups if zlib.crc32(str(ids[g[0]]).encode()) // 7 % PARTS]
+    if held and len({labels[g[0]] for g in held}) == 2 and len({labels[g[0]] for g in rest}) == 2:
+        own = [i for g in rest for i in g]
+        place = {i: k for k, i in enumerate(own)}
+        other = Index([found[i] for i in own], [labels[i] for i in own], [ids[i] for i in own], [[place[i] for i in g] for g in rest], weights, index.prior)
+        odds = np.array([e[0] for e in other.evidence([found[g[0]] for g in held])])
+        y = np.array([labels[g[0]] for g in held], float)
+        index.curve = logistic(odds, y, np.where(y > 0, weights[1], weights[0]))
+    return index
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
@@ -257,44 +256,58 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_
     whose doc_id hashes lowest: the same at every run.  learn: which rows of
     labels may be learnt from (all).  Rows without a doc_id or label, and
     labels without a document, are not learnt from; of several labels of a
-    document the largest holds.  No labels at all give scores of 0."""
+    document the largest holds, of several texts the first by code point.  No
+    labels at all give scores of 0.  Texts are turned into words and counts
+    where they are; these come to the driver."""
+    ship(docs.sparkSession)
     rows = labels if learn is None else labels.filter(learn)
     rows = rows.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y")).filter("_y in (0, 1)")
     picked = [rows.filter(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
     some = F.broadcast(picked[0].unionByName(picked[1]))
-    got = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(some, "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
-    got.sort(key=lambda r: (r["_id"], r["_text"] or ""))
+    own = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(some, "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            found = [words(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array(map(sketch, texts), pa.list_(pa.int64()))], names=["id", "y", "words", "n", "sketch"])
+
+    got = own.select(F.col("_id").cast("long").alias("_id"), "_y", "_text").mapInArrow(lean(count), "id long, y int, words array<string>, n array<int>, sketch array<long>").toArrow().sort_by("id")
+    ids, y = got.column("id").to_pylist(), got.column("y").to_pylist()
+    found = [dict(zip(w, n, strict=True)) for w, n in zip(got.column("words").to_pylist(), got.column("n").to_pylist(), strict=True)]
     # the sample's classes stand for as many rows as there are
     there = dict(rows.groupBy("_y").count().collect())
-    held = Counter(r["_y"] for r in got)
-    share = [there.get(y, 0) / max(1, held[y]) for y in (0, 1)]
-    mean = max(1e-9, sum(share[y] * held[y] for y in (0, 1)) / max(1, len(got)))
+    held = Counter(y)
+    share = [there.get(k, 0) / max(1, held[k]) for k in (0, 1)]
+    mean = max(1e-9, sum(share[k] * held[k] for k in (0, 1)) / max(1, len(y)))
     prior = there.get(1, 0) / max(1, sum(there.values()))
-    return Index([r["_text"] for r in got], [r["_y"] for r in got], [r["_id"] for r in got], (share[0] / mean, share[1] / mean), prior)
+    return learn_index(found, y, ids, got.column("sketch").to_pylist(), (share[0] / mean, share[1] / mean), prior)
 
 
 def score(docs: DataFrame, index: Index, *, text: str = "text", evidence: bool = False) -> DataFrame:
     """docs with score (0 to 1, higher: more likely toxic) and predicted (1 if
-    score >= 0.5); with evidence, also neighbours and cosines, the ids and
-    cosines of the examples that voted.
+    score >= 0.5); with evidence, also neighbours, cosines and their_labels of
+    the examples that voted, nearest first (ties in a fixed order).
 
-    Whole texts count.  A null or empty text, and one without any term that
-    goes with the label, gets the sample's share of toxic texts.  Repeated rows
-    are scored each; columns pass through, but those of the added names are
-    replaced; an empty table gives an empty table.
+    Whole texts count.  A null or empty text, and one without any word of the
+    sample, gets the calibrated share of toxic texts.  Repeated rows are scored
+    each; columns pass through, but those of the added names are replaced; an
+    empty table gives an empty table.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and MOST_TERMS
+    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample's words
 
     def fn(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        own = held.value
         for t in tables:
-            found = [held.value.score(x) for x in t.column("text").to_pylist()]
-            s = np.array([f[0] for f in found], float)
+            texts, found = t.column("text"), []
+            for at in range(0, len(texts), BATCH):
+                found += own.evidence([words(x) for x in texts.slice(at, BATCH).to_pylist()])
+            s = own.probability(np.array([f[0] for f in found], float))
             out = {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
             if evidence:
-                out |= {"neighbours": pa.array([f[1] for f in found], pa.list_(pa.int64())), "cosines": pa.array([f[2] for f in found], pa.list_(pa.float64()))}
+                out |= {"neighbours": pa.array([f[1] for f in found], pa.list_(pa.int64())), "cosines": pa.array([f[2] for f in found], pa.list_(pa.float64())), "their_labels": pa.array([f[3] for f in found], pa.list_(pa.int32()))}
             yield pa.table(out)
-        held.value.forget()
 
-    more = [("neighbours", T.ArrayType(T.LongType())), ("cosines", T.ArrayType(T.DoubleType()))] if evidence else []
+    more = [("neighbours", T.ArrayType(T.LongType())), ("cosines", T.ArrayType(T.DoubleType())), ("their_labels", T.ArrayType(T.IntegerType()))] if evidence else []
     return with_fields(docs, fn, {"text": text}, [("score", T.DoubleType()), ("predicted", T.IntegerType()), *more])
