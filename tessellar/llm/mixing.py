@@ -20,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, same_name
 
 #: Weights of the sources by code point, repeating; the most copies.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 #: Newton steps at most; relative error at which they end.
-STEPS, ERROR = 40, 1e-9
+STEPS, ERROR = 60, 1e-9
 #: Bins of the hash in which a source's sums are kept for rounding.
 BINS = 4096
 #: Size classes, halving from each source's mean, that are rounded in turn.
@@ -63,7 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 def multipliers(hist: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     """source, source_size, target, mean, lam: the dual solved for each source.
 
-    hist has (source, size, n) with size > 0; x = size / the source's mean."""
+    hist has (source, size, n) with size > 0; x = size / the source's mean.
+    Sources still off by more than ERROR after STEPS are an error."""
     mean = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"), F.max("size").alias("largest"))
     s = goals.join(mean, goals["source"].eqNullSafe(mean["source"])).select(goals["source"], "source_size", "target", "mean", "least")
     # at a multiplier beyond the bracket every rate is `most`, or every sum below the target
@@ -94,8 +95,10 @@ def multipliers(hist: DataFrame, goals: DataFrame, most: int = MOST) -> DataFram
         state = cut(now, drop=state)
         if not state.filter("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"rates haven't settled in {STEPS} steps")
     # sums of doubles differ in their last digits from run to run; the multiplier is told to nine
-    return state.select("source", "source_size", "target", "mean", F.round("lam", 9).alias("lam"))
+    return cut(state.select("source", "source_size", "target", "mean", F.round("lam", 9).alias("lam")), drop=state)
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -107,10 +110,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     number of copies, at every run.  Columns pass through, but those of the
     added names are replaced; an empty table gives an empty table.
     """
-    added = ("size", "source_size", "target", "rate", "copies", "taken")
-    kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], word_count(F.col(f"`{text}`")).alias("size"))
-    small = cut(rows.select(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(20240229)).alias("h"), F.col(f"`{source}`").alias("source"), "size"))
+    added = ["size", "source_size", "target", "rate", "copies", "taken"]
+    kept = [c for c in docs.columns if not same_name(c, added)]
+    # the rows' own columns travel in a struct, so that no name of theirs meets one of these
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(1).alias("row"),
+        F.xxhash64(F.col(f"`{doc_id}`"), F.lit(20240229)).alias("h"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
+    )
+    small = cut(rows.select("h", "source", "size"))
     hist = cut(small.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = cut(targets(sizes, weights, most))
@@ -123,29 +130,28 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     # 0: above the source's mean size; each next one, half as long
     level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mean") / F.col("size"))))).cast("int")
     named = small.filter("size > 0").join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
-    named = named.withColumn("whole", F.floor("rate")).withColumn("bin", F.when(F.col("rate") >= most, F.lit(BINS)).otherwise(place))
-    named = named.withColumn("level", level)
-    # a row for each source, level and bin
-    sums = cut(named.groupBy("s", "level", "bin").agg(F.sum(F.col("whole") * F.col("size")).alias("base"), F.sum(F.when(F.col("bin") < BINS, F.col("size")).otherwise(0)).alias("more"), F.sum(F.col("rate") * F.col("size")).alias("due")))
-    best = solved.select(F.col("source").alias("s"), F.lit(0.0).alias("off"))
-    for k in range(LEVELS):
-        # long documents first: what their rounding is off by, the shorter ones make good
-        of = sums.filter(F.col("level") == k).join(best.select(F.col("s").alias("b"), "off"), F.col("s").eqNullSafe(F.col("b")))
-        upto, everything = Window.partitionBy("s").orderBy("bin"), Window.partitionBy("s")
-        of = of.select("s", "bin", (F.sum("base").over(everything) + F.sum("more").over(upto) - F.sum("due").over(everything) + F.col("off")).alias("off"), (F.sum("base").over(everything) - F.sum("due").over(everything) + F.col("off")).alias("bare"))
-        # bins up to the cut get one copy more; -1: none does
-        tried = of.filter(F.col("bin") < BINS - 1).select("s", "bin", "off").unionByName(of.groupBy("s").agg(F.first("bare").alias("off")).select("s", F.lit(-1).alias("bin"), "off"))
-        here = tried.groupBy("s").agg(F.min_by(F.struct("bin", "off"), F.struct(F.abs(F.col("off")), F.col("bin"))).alias("c"))
-        before = best.withColumnRenamed("s", "b").withColumnRenamed("off", "was")
-        best = before.join(here, F.col("b").eqNullSafe(F.col("s")), "left").drop("s").select(F.col("b").alias("s"), *[f"cut{j}" for j in range(k)], F.coalesce("c.bin", F.lit(-1)).alias(f"cut{k}"), F.coalesce("c.off", "was").alias("off"))
-        best = cut(best)  # a row a source; else each level's plan would hold the one before three times
-    best = best.drop("off")
-    plan = goals.withColumnRenamed("source", "p").join(solved.select(F.col("source").alias("s1"), "mean", "lam"), F.col("p").eqNullSafe(F.col("s1")), "left").join(best, F.col("p").eqNullSafe(F.col("s")), "left")
-    plan = cut(plan.select(F.col("p").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), "mean", "lam", *[f"cut{k}" for k in range(LEVELS)]))  # a row a source: the planner sees its size
-    out = rows.withColumn("h", F.xxhash64(F.col(f"`{doc_id}`"), F.lit(20240229))).join(plan, F.col(f"`{source}`").eqNullSafe(F.col("_s")), "left")
-    out = out.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)))
-    cut_of = F.element_at(F.array(*[F.col(f"cut{k}") for k in range(LEVELS)]), level + 1)
-    copies = F.when(F.col("size") == 0, F.lit(1)).when(F.col("rate") >= most, F.lit(most)).otherwise(F.floor("rate") + F.when(place <= cut_of, 1).otherwise(0)).cast("int")
-    out = out.withColumn("copies", copies)
-    release(small)
-    return out.select(*[F.col(f"`{c}`") for c in kept], "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    named = named.withColumn("whole", F.floor("rate")).withColumn("bin", F.when(F.col("rate") >= most, F.lit(BINS)).otherwise(place)).withColumn("level", level)
+    # a row for each source, level and bin; then one for each source
+    size = F.col("size").cast("double")
+    sums = named.groupBy("s", "level", "bin").agg(F.sum(F.col("whole") * size).alias("base"), F.sum(F.when(F.col("bin") < BINS, size).otherwise(0.0)).alias("more"), F.sum(F.col("rate") * size).alias("due"))
+    upto = F.sum("more").over(Window.partitionBy("s", "level").orderBy("bin"))
+    by_level = sums.withColumn("upto", upto).groupBy("s", "level").agg((F.sum("base") - F.sum("due")).alias("bare"), F.array_sort(F.collect_list(F.when(F.col("bin") < BINS - 1, F.struct("bin", "upto")))).alias("bins"))
+    levels = by_level.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("level", "bare", "bins"))).alias("levels"))
+
+    def choose(done: Column, this: Column) -> Column:
+        """Long documents first: what their rounding is off by, the shorter ones make good.
+        Bins up to the cut get one copy more; -1: none does."""
+        bare = done["off"] + this["bare"]
+        tried = F.transform(this["bins"], lambda b: F.struct(F.abs(bare + b["upto"]).alias("far"), b["bin"].alias("bin"), (bare + b["upto"]).alias("off")))
+        best = F.array_min(F.concat(F.array(F.struct(F.abs(bare).alias("far"), F.lit(-1).alias("bin"), bare.alias("off"))), tried))
+        return F.struct(best["off"].alias("off"), F.map_concat(done["cuts"], F.create_map(this["level"], best["bin"])).alias("cuts"))
+
+    chosen = F.aggregate("levels", F.struct(F.lit(0.0).alias("off"), F.expr("cast(map() as map<int, int>)").alias("cuts")), choose, lambda done: done["cuts"])
+    plan = goals.withColumnRenamed("source", "p").join(solved.select(F.col("source").alias("s1"), "mean", "lam"), F.col("p").eqNullSafe(F.col("s1")), "left").join(levels.select("s", chosen.alias("cuts")), F.col("p").eqNullSafe(F.col("s")), "left")
+    plan = cut(plan.select("p", "source_size", "target", "mean", "lam", "cuts"))  # a row a source: the planner sees its size
+    for done in (small, hist, goals, solved):
+        release(done)
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("p")), "left").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)))
+    copies = F.when(F.col("size") == 0, F.lit(1)).when(F.col("rate") >= most, F.lit(most)).otherwise(F.floor("rate") + F.when(place <= F.coalesce(F.element_at("cuts", level), F.lit(-1)), 1).otherwise(0)).cast("int")
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *added)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessellar.llm import bpe, hnsw, html_extract, langid, lattice, licenses, mixing, simhash, token_counts, toxicity
+from tessellar.llm import bpe, hnsw, html_extract, langid, lattice, licenses, mixing, simhash, token_counts
 from tessellar.llm.common import components
 
 ODD = [None, "", " ", "a  b", " a", "a ", "a\nb \n c", "▁a ▁ b", "x <s> </s> <|endoftext|> y", "\x00 é​ ñ\t", "it's  don't", "😀 " * 3, "word " * 9000]
@@ -156,30 +156,6 @@ def test_licenses_own_and_inherited(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
-def test_toxicity_index_is_exact_and_learns(spark):
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(400)]
-    rows, labels = [], []
-    for i in range(600):
-        w = rng.choices(words, k=60)
-        if i % 5 == 0:
-            w[::9] = rng.choices(["vile", "foul", "nastyish"], k=len(w[::9]))
-        rows.append((i, " ".join(w), None))
-        labels.append((i, int(i % 5 == 0)))
-    docs = spark.createDataFrame([*rows, (700, None, None), (701, "", None), (None, "vile foul", None)], "doc_id long, text string, predicted string")
-    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), learn=F.col("doc_id") % 3 != 0)
-    got = {r.doc_id: r for r in toxicity.score(docs, index, evidence=True).collect()}
-    assert all(got[i].predicted == int(i % 5 == 0) for i in range(600)) and got[700].predicted == 0
-    counts = index.known(toxicity.words(rows[5][1]))
-    _, s = index.nearest(counts)
-    dense = np.zeros((len(index.labels), len(index.terms)))
-    for t in range(len(index.terms)):
-        dense[index.at[t], t] = index.weight[t]
-    t, q = index.vector(counts)
-    assert np.allclose(s, np.sort(dense[:, t] @ q)[::-1][: len(s)])
-    assert toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).score("vile")[0] == 0
-
-
 def test_language(spark):
     en, de = "the quick brown fox jumps over this lazy dog and then some", "der schnelle braune fuchs springt über den faulen hund und weiter"
     rng = random.Random(1)
