@@ -31,7 +31,7 @@ from ..shipping import ship
 from .common import lean, with_fields
 
 #: Bytes of text in a block; a longer text is cut at word starts into blocks of its own.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: Distinct words that a task of the word table remembers before it starts anew.
 MEMO = 400_000
 #: Distinct words encoded as one text.

@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,10 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 
+#: Rows that with_fields hands to a function at once.
+ROWS = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; in a local session without
     that setting, a temporary folder of this machine."""
@@ -93,22 +98,26 @@ def with_fields(df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.Ta
     """
     ship(df.sparkSession)
     kept = [f for f in df.schema.fields if not same_name(f.name, [n for n, _ in adds])]
+    own = [f.name for f in kept]
+    # what fn needs is read from the row itself, if it is there: no column travels twice
+    apart = [k for k, src in needs.items() if src not in own]
     packed = df.select(
-        F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row") if kept else F.lit(1).alias("row"),
-        *[F.col(f"`{src}`").alias(f"in_{k}") for k, src in needs.items()],
+        F.struct(*[F.col(f"`{n}`") for n in own]).alias("row") if kept else F.lit(1).alias("row"),
+        *[F.col(f"`{needs[k]}`").alias(f"in_{k}") for k in apart],
     )
     row_type = packed.schema["row"].dataType
     schema = T.StructType([T.StructField("row", row_type), *[T.StructField(f"out_{n}", t) for n, t in adds]])
-    names = list(needs)
+    place = {k: ("in", apart.index(k) + 1) if k in apart else ("row", own.index(src)) for k, src in needs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.Array] = []
 
         def feed() -> Iterator[pa.Table]:
             for b in batches:
-                if b.num_rows:
-                    rows.append(b.column(0))
-                    yield pa.table({k: b.column(i + 1) for i, k in enumerate(names)})
+                for at in range(0, b.num_rows, ROWS):
+                    some = b.slice(at, ROWS)
+                    rows.append(some.column(0))
+                    yield pa.table({k: some.column(i) if kind == "in" else pa.compute.struct_field(some.column(0), [i]) for k, (kind, i) in place.items()})
 
         for made in fn(feed()):
             made = made.combine_chunks()

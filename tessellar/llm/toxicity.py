@@ -18,7 +18,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +94,40 @@ def copies(sketches: list[list[int]], labels: list[int]) -> list[list[int]]:
     return groups
 
 
+class Sample:
+    """Examples' words as numbers of one vocabulary, and how often each holds them."""
+
+    def __init__(self, words: pa.ListArray, counts: pa.ListArray):
+        held = words.flatten().dictionary_encode()
+        self.terms = {w: i for i, w in enumerate(held.dictionary.to_pylist())}
+        at = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+        index, n = held.indices.to_numpy().astype(np.int32), counts.flatten().to_numpy().astype(np.float32)
+        self.sets = [index[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        self.counts = [n[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+    @staticmethod
+    def of(found: list[dict[str, int]]) -> Sample:
+        return Sample(pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())))
+
+    def some(self, which: list[int]) -> Sample:
+        part = object.__new__(Sample)
+        part.terms, part.sets, part.counts = self.terms, [self.sets[i] for i in which], [self.counts[i] for i in which]
+        return part
+
+    def words(self, i: int, names: list[str]) -> dict[str, int]:
+        return {names[w]: int(n) for w, n in zip(self.sets[i], self.counts[i], strict=True)}
+
+
 class Index:
     """Exact k nearest examples by TF-IDF cosine.
 
-    found: words and their counts of each example; groups: which of them are
-    copies (each its own, if not told), whose words count once in a term's weight.
+    groups: which examples are copies (each its own, if not told), whose words
+    count once in a term's weight.
     """
 
-    def __init__(self, found: list[dict[str, int]], labels: list[int], ids: list[int] | None = None, groups: list[list[int]] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
-        n = len(found)
-        self.terms: dict[str, int] = {}
-        sets = [np.fromiter((self.terms.setdefault(w, len(self.terms)) for w in c), np.int64, len(c)) for c in found]
+    def __init__(self, sample: Sample, labels: list[int], ids: list[int] | None = None, groups: list[list[int]] | None = None, weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None):
+        sets, n = sample.sets, len(sample.sets)
+        self.terms = sample.terms
         size = len(self.terms)
         groups = groups if groups is not None else [[i] for i in range(n)]
         df = np.zeros((2, size))
@@ -114,7 +138,7 @@ class Index:
         c, e = toxic - a, all_ - toxic - b
         phi2 = (a * e - b * c) ** 2 / np.maximum(1, (a + b) * (c + e) * toxic * (all_ - toxic))
         self.idf = (np.log((1 + all_) / (1 + a + b)) + 1) * (FLOOR + phi2)
-        vectors = [self._unit(s, np.fromiter(x.values(), float, len(x))) for s, x in zip(sets, found, strict=True)]
+        vectors = [self._unit(s, x.astype(float)) for s, x in zip(sets, sample.counts, strict=True)]
         # examples with the same strongest term stand together, which keeps the bounds of blocks low
         order = sorted(range(n), key=lambda i: (int(sets[i][vectors[i].argmax()]) if len(sets[i]) else -1, i))
         self.labels = np.array([labels[i] > 0 for i in order], float)
@@ -125,7 +149,7 @@ class Index:
         # examples' vectors one after another, then the same by term
         lens = np.array([len(sets[i]) for i in order], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(lens)])
-        self.of = np.concatenate([sets[i] for i in order]) if n else np.empty(0, np.int64)
+        self.of = np.concatenate([sets[i] for i in order]) if n else np.empty(0, np.int32)
         self.weight = np.concatenate([vectors[i] for i in order]) if n else np.empty(0)
         example = np.repeat(np.arange(n), lens)
         by_term = np.argsort(self.of, kind="stable")
@@ -204,11 +228,11 @@ class Index:
             out.append((some[order], cosine[order]))
         return out
 
-    def evidence(self, found: list[dict[str, int]]) -> list[tuple[float, list[int], list[float], list[int]]]:
+    def evidence(self, found: Iterable[dict[str, int]]) -> list[tuple[float, list[int], list[float], list[int]]]:
         """Of each text the log odds of the votes, and the ids, cosines and labels of its neighbours."""
-        out = []
-        for at in range(0, len(found), BATCH):
-            for i, s in self.nearest([self.vector(c) for c in found[at : at + BATCH]]):
+        out, found = [], iter(found)
+        while some := [self.vector(c) for c in islice(found, BATCH)]:
+            for i, s in self.nearest(some):
                 vote, y = s * self.weights[i], self.labels[i]
                 odds = np.log((vote @ y + PRIOR_WEIGHT * max(self.prior, 1e-6)) / (vote @ (1 - y) + PRIOR_WEIGHT * max(1 - self.prior, 1e-6)))
                 out.append((float(odds), self.ids[i].tolist(), s.tolist(), y.astype(int).tolist()))
@@ -234,20 +258,25 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def learn_index(found: list[dict[str, int]], labels: list[int], ids: list[int], sketches: list[list[int]], weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None) -> Index:
+def learn_index(sample: Sample, labels: list[int], ids: list[int], sketches: list[list[int]], weights: tuple[float, float] = (1.0, 1.0), prior: float | None = None) -> Index:
     """An index whose curve is fitted on the examples of one part of the copy
     groups, by hash of the group's id, scored by an index of the others."""
     groups = copies(sketches, labels)
-    index = Index(found, labels, ids, groups, weights, prior)
     held = [g for g in groups if zlib.crc32(str(ids[g[0]]).encode()) // 7 % PARTS == 0]
     rest = [g for g in groups if zlib.crc32(str(ids[g[0]]).encode()) // 7 % PARTS]
+    curve = None
     if held and len({labels[g[0]] for g in held}) == 2 and len({labels[g[0]] for g in rest}) == 2:
         own = [i for g in rest for i in g]
         place = {i: k for k, i in enumerate(own)}
-        other = Index([found[i] for i in own], [labels[i] for i in own], [ids[i] for i in own], [[place[i] for i in g] for g in rest], weights, index.prior)
-        odds = np.array([e[0] for e in other.evidence([found[g[0]] for g in held])])
+        share = prior if prior is not None else sum(labels) / len(labels)
+        other = Index(sample.some(own), [labels[i] for i in own], [ids[i] for i in own], [[place[i] for i in g] for g in rest], weights, share)
+        names = list(sample.terms)
+        odds = np.array([e[0] for e in other.evidence(sample.words(g[0], names) for g in held)])
         y = np.array([labels[g[0]] for g in held], float)
-        index.curve = logistic(odds, y, np.where(y > 0, weights[1], weights[0]))
+        curve = logistic(odds, y, np.where(y > 0, weights[1], weights[0]))
+        del other
+    index = Index(sample, labels, ids, groups, weights, prior)
+    index.curve = curve or index.curve
     return index
 
 
@@ -275,14 +304,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_
 
     got = own.select(F.col("_id").cast("long").alias("_id"), "_y", "_text").mapInArrow(lean(count), "id long, y int, words array<string>, n array<int>, sketch array<long>").toArrow().sort_by("id")
     ids, y = got.column("id").to_pylist(), got.column("y").to_pylist()
-    found = [dict(zip(w, n, strict=True)) for w, n in zip(got.column("words").to_pylist(), got.column("n").to_pylist(), strict=True)]
+    sample = Sample(*[got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("words", "n")])
     # the sample's classes stand for as many rows as there are
     there = dict(rows.groupBy("_y").count().collect())
     held = Counter(y)
     share = [there.get(k, 0) / max(1, held[k]) for k in (0, 1)]
     mean = max(1e-9, sum(share[k] * held[k] for k in (0, 1)) / max(1, len(y)))
     prior = there.get(1, 0) / max(1, sum(there.values()))
-    return learn_index(found, y, ids, got.column("sketch").to_pylist(), (share[0] / mean, share[1] / mean), prior)
+    return learn_index(sample, y, ids, got.column("sketch").to_pylist(), (share[0] / mean, share[1] / mean), prior)
 
 
 def score(docs: DataFrame, index: Index, *, text: str = "text", evidence: bool = False) -> DataFrame:
@@ -300,9 +329,7 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", evidence: bool =
     def fn(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
         own = held.value
         for t in tables:
-            texts, found = t.column("text"), []
-            for at in range(0, len(texts), BATCH):
-                found += own.evidence([words(x) for x in texts.slice(at, BATCH).to_pylist()])
+            found = own.evidence(words(x.as_py()) for x in t.column("text"))
             s = own.probability(np.array([f[0] for f in found], float))
             out = {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
             if evidence:

@@ -9,7 +9,7 @@ from tessellar.llm import toxicity
 
 
 def learnt(texts, labels):
-    return toxicity.learn_index([dict(toxicity.words(t)) for t in texts], labels, list(range(len(texts))), [toxicity.sketch(t) for t in texts])
+    return toxicity.learn_index(toxicity.Sample.of([toxicity.words(t) for t in texts]), labels, list(range(len(texts))), [toxicity.sketch(t) for t in texts])
 
 
 def answers(index, texts):
