@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bucket
+
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, order: list[str] = ()) -> DataFrame:
     """df with island, numbering runs of intervals that start no later than gap
@@ -48,12 +50,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int)
     others."""
 
     def bucketed(df: DataFrame, s: str, e: str) -> DataFrame:
-        first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)
+        first, last = bucket(F.col(s), width), bucket(F.col(e) - 1, width)
         return df.withColumn("_bucket", F.explode(F.sequence(first, last)))
 
     a, b = bucketed(left, "a_start", "a_end"), bucketed(right, "b_start", "b_end")
     hit = a.join(b, [*keys, "_bucket"]).filter("a_start < b_end and b_start < a_end")
-    return hit.filter(F.col("_bucket") == F.floor(F.greatest("a_start", "b_start") / width)).drop("_bucket")
+    return hit.filter(F.col("_bucket") == bucket(F.greatest("a_start", "b_start"), width)).drop("_bucket")
 
 
 def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bucket
+
 
 def _wide(c: Column) -> Column:
     return c.cast("decimal(38,0)")
@@ -46,8 +48,8 @@ def nearest(targets: DataFrame, frames: DataFrame, keys: list[str], tolerance: i
     in time buckets as wide as the tolerance: an equality join, merged, since
     either side may be large."""
     width = max(1, tolerance)
-    t = targets.withColumn("_b", F.explode(F.array(*[F.floor(F.col("target_ns") / width) + i for i in (-1, 0, 1)])))
-    f = frames.withColumn("_b", F.floor(F.col("frame_ns") / width))
+    t = targets.withColumn("_b", F.explode(F.array(*[bucket(F.col("target_ns"), width) + i for i in (-1, 0, 1)])))
+    f = frames.withColumn("_b", bucket(F.col("frame_ns"), width))
     ok = F.col(usable) if usable else F.lit(True)
     delta = F.abs(F.col("frame_ns") - F.col("target_ns"))
     hits = t.hint("merge").join(f, [*keys, "_b"]).filter(delta <= tolerance)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bucket
+
 
 def sliding(df: DataFrame, keys: list[str], ts: str, size: int, hop: int, aggregates: list[Column]) -> DataFrame:
     """Windows [k * hop, k * hop + size) from the first one that holds a row to
     the last, empty ones (n_rows 0) too; the last end is clipped to the row after
     the last row's time.  Rows are dealt to the windows that hold them."""
-    first, last = F.floor((F.col(ts) - size) / hop) + 1, F.floor(F.col(ts) / hop)
+    first, last = bucket(F.col(ts) - size, hop) + 1, bucket(F.col(ts), hop)
     filled = df.withColumn("window_k", F.explode(F.sequence(first, last))).groupBy(*keys, "window_k").agg(F.count("*").alias("n_rows"), *aggregates)
     span = df.groupBy(*keys).agg(F.min(first).alias("_a"), F.max(last).alias("_b"), (F.max(ts) + 1).alias("_stop"))
     every = span.select(*keys, "_stop", F.explode(F.sequence("_a", "_b")).alias("window_k"))
@@ -21,7 +23,7 @@ def sliding(df: DataFrame, keys: list[str], ts: str, size: int, hop: int, aggreg
 
 def bucket_best(df: DataFrame, keys: list[str], ts: str, width: int, tolerance: int, row: str) -> DataFrame:
     """Of each bucket's rows the one nearest to its middle, within the tolerance."""
-    k = F.floor(F.col(ts) / width)
+    k = bucket(F.col(ts), width)
     off = F.abs(F.col(ts) - (k * width + width // 2))
     near = df.withColumn("bucket", k).withColumn("delta", off).filter(F.col("delta") <= tolerance)
     return near.groupBy(*keys, "bucket").agg(F.min(F.struct("delta", ts, row)).alias("_best")).select(*keys, "bucket", F.col(f"_best.{row}").alias(row), "_best.delta")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import content_digest, length_prefixed
+from ..functions import bucket, content_digest, length_prefixed
 from ..operators import graphs, intervals, metrics, retrieval, sequences, timegrid, windows
 from ..sources import frames, table
+from . import quality  # noqa: F401  (registers its queries)
+from .registry import ORACLE_SQL, QUERIES, S, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "a1_gap_merge"
-S = 1_000_000_000
 GAP = 600 * S
 
 FRAMES = "f AS (SELECT event_id, CAST(user_id % 6 + 1 AS INTEGER) AS camera, user_id AS recording, event_type AS label, value, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + CAST(round(value * 1e9) AS BIGINT) AS end_ns FROM events)"
@@ -26,16 +23,6 @@ def _islands_sql(source: str, keys: str, gap: int) -> str:
 SELECT *, CASE WHEN start_ns > max(end_ns) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} OR row_number() OVER ({part}) = 1 THEN 1 ELSE 0 END AS opens FROM {source}))"""
 
 
-def query(sql: str | None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 @query(f"WITH {FRAMES}, i AS {_islands_sql('f', 'recording', GAP)} SELECT recording, CAST(island AS BIGINT) AS island, min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(*) AS n_merged FROM i GROUP BY recording, island")
 def a1_gap_merge(spark, d):
     return intervals.merge(frames(spark, d), ["recording"], "start_ns", "end_ns", GAP)
@@ -140,58 +127,36 @@ def a15_percentiles(spark, d):
     return sequences.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p95": 95}).withColumn("p95_linear", F.round("p95_linear", 6))
 
 
-_GRID = f"""t AS (SELECT * FROM (SELECT recording, k, CAST(k * {100 * S} AS BIGINT) // 3 + CASE WHEN 2 * ((k * {100 * S}) % 3) > 3 THEN 1 ELSE 0 END AS target_ns, lo, hi FROM (SELECT recording, lo, hi, unnest(generate_series(CAST(lo * 3 // {100 * S} - 1 AS BIGINT), CAST(hi * 3 // {100 * S} + 1 AS BIGINT))) AS k FROM b)) WHERE target_ns >= lo AND target_ns < hi)"""
+#: Grid step (over 3) and tolerance for recordings of 30 days.
+STEP, TOLERANCE = 10_000 * S, 20_000 * S
+_GRID = f"""b AS (SELECT recording, min(start_ns) AS lo, max(start_ns) + 1 AS hi FROM f GROUP BY recording), t AS (SELECT * FROM (SELECT recording, k, CAST(k * {STEP} AS BIGINT) // 3 + CASE WHEN 2 * ((k * {STEP}) % 3) > 3 THEN 1 ELSE 0 END AS target_ns, lo, hi FROM (SELECT recording, lo, hi, unnest(generate_series(CAST(lo * 3 // {STEP} - 1 AS BIGINT), CAST(hi * 3 // {STEP} + 1 AS BIGINT))) AS k FROM b)) WHERE target_ns >= lo AND target_ns < hi)"""
 
 
-def _spans(spark, d):
-    f = frames(spark, d).filter("recording < 20")
-    return f, f.groupBy("recording").agg(F.min("start_ns").alias("lo"), (F.min("start_ns") + 7200 * S).alias("hi"))
+def _targets(f: DataFrame) -> DataFrame:
+    spans = f.groupBy("recording").agg(F.min("start_ns").alias("lo"), (F.max("start_ns") + 1).alias("hi"))
+    n_parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows of many targets: dealt by number, which adaptive execution doesn't merge
+    return timegrid.grid_targets(spans.repartition(n_parts, "recording"), ["recording"], "lo", "hi", STEP, 3)
 
 
-@query(f"WITH {FRAMES}, b AS (SELECT recording, min(start_ns) AS lo, min(start_ns) + {7200 * S} AS hi FROM f WHERE recording < 20 GROUP BY recording), {_GRID} SELECT recording, k, target_ns FROM t")
+@query(f"WITH {FRAMES}, {_GRID} SELECT recording, k, target_ns FROM t")
 def grid_targets(spark, d):
-    """Targets 100/3 s apart over the first two hours of some recordings."""
-    return timegrid.grid_targets(_spans(spark, d)[1], ["recording"], "lo", "hi", 100 * S, 3)
+    """Targets 10,000/3 s apart from the first to the last frame of every recording."""
+    return _targets(frames(spark, d))
 
 
-_NEAREST = f"""WITH {FRAMES}, b AS (SELECT recording, min(start_ns) AS lo, min(start_ns) + {7200 * S} AS hi FROM f WHERE recording < 20 GROUP BY recording), {_GRID},
-h AS (SELECT t.recording, k, target_ns, event_id, start_ns, label = 'error' AS bad, abs(start_ns - target_ns) AS delta, row_number() OVER (PARTITION BY t.recording, k ORDER BY label = 'error', abs(start_ns - target_ns), start_ns, event_id) AS n FROM t JOIN f ON t.recording = f.recording AND abs(start_ns - target_ns) <= {200 * S}),
+_NEAREST = f"""WITH {FRAMES}, {_GRID},
+h AS (SELECT t.recording, k, target_ns, event_id, start_ns, label = 'error' AS bad, abs(start_ns - target_ns) AS delta, row_number() OVER (PARTITION BY t.recording, k ORDER BY label = 'error', abs(start_ns - target_ns), start_ns, event_id) AS n FROM t JOIN f ON t.recording = f.recording AND abs(start_ns - target_ns) <= {TOLERANCE}),
 j AS (SELECT t.recording, t.k, t.target_ns, event_id AS frame_id, start_ns AS frame_ns, delta, CASE WHEN event_id IS NULL THEN 'NO_FRAME' WHEN bad THEN 'DECODE_FAILED' ELSE 'SELECTED' END AS status FROM t LEFT JOIN (SELECT * FROM h WHERE n = 1) h ON t.recording = h.recording AND t.k = h.k)
 SELECT recording, k, target_ns, coalesce(frame_id, -1) AS frame_id, coalesce(frame_ns, -1) AS frame_ns, coalesce(delta, -1) AS delta, CASE WHEN status = 'SELECTED' AND row_number() OVER (PARTITION BY recording, status, frame_id ORDER BY delta, target_ns, k) > 1 THEN 'DEDUPLICATED_FRAME' ELSE status END AS status FROM j"""
 
 
 @query(_NEAREST)
 def j2_j3_nearest_frame(spark, d):
-    f, b = _spans(spark, d)
-    t = timegrid.grid_targets(b, ["recording"], "lo", "hi", 100 * S, 3)
-    x = f.select("recording", F.col("event_id").alias("frame_id"), F.col("start_ns").alias("frame_ns"), (F.col("label") != "error").alias("usable"))
-    found = timegrid.one_use(timegrid.nearest(t, x, ["recording"], 200 * S, "usable"), ["recording"])
-    return found.fillna(-1, ["frame_id", "frame_ns", "delta"])
-
-
-#: Grid of whole recordings: 100 times the step and the tolerance of the two queries above, whose SQL takes two hours of 20 recordings.
-WHOLE_STEP, WHOLE_TOLERANCE = 10_000 * S, 20_000 * S
-
-
-def _whole_targets(f: DataFrame) -> DataFrame:
-    spans = f.groupBy("recording").agg(F.min("start_ns").alias("lo"), (F.max("start_ns") + 1).alias("hi"))
-    n_parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few rows of many targets: dealt by number, which adaptive execution doesn't merge
-    return timegrid.grid_targets(spans.repartition(n_parts, "recording"), ["recording"], "lo", "hi", WHOLE_STEP, 3)
-
-
-@query(None)
-def grid_targets_whole(spark, d):
-    """Targets 10,000/3 s apart from the first to the last frame of every recording."""
-    return _whole_targets(frames(spark, d))
-
-
-@query(None)
-def j2_j3_nearest_frame_whole(spark, d):
     """Each target of every recording with its nearest frame, each frame used once."""
     f = frames(spark, d)
     x = f.select("recording", F.col("event_id").alias("frame_id"), F.col("start_ns").alias("frame_ns"), (F.col("label") != "error").alias("usable"))
-    found = timegrid.one_use(timegrid.nearest(_whole_targets(f), x, ["recording"], WHOLE_TOLERANCE, "usable"), ["recording"])
+    found = timegrid.one_use(timegrid.nearest(_targets(f), x, ["recording"], TOLERANCE, "usable"), ["recording"])
     return found.fillna(-1, ["frame_id", "frame_ns", "delta"])
 
 
@@ -222,7 +187,7 @@ def st7_bucket_best(spark, d):
 
 @query(f"WITH {FRAMES} SELECT camera, start_ns // {3600 * S} AS segment, count(*) AS n, min(start_ns) AS first_ns, max(start_ns) + 1 AS end_ns FROM f GROUP BY ALL")
 def st6_segment_sealing(spark, d):
-    return frames(spark, d).groupBy("camera", F.floor(F.col("start_ns") / (3600 * S)).alias("segment")).agg(F.count("*").alias("n"), F.min("start_ns").alias("first_ns"), (F.max("start_ns") + 1).alias("end_ns"))
+    return frames(spark, d).groupBy("camera", bucket(F.col("start_ns"), 3600 * S).alias("segment")).agg(F.count("*").alias("n"), F.min("start_ns").alias("first_ns"), (F.max("start_ns") + 1).alias("end_ns"))
 
 
 @query(f"WITH {FRAMES} SELECT camera, min(start_ns) AS start_ns, max(start_ns) + 1 AS end_ns, count(*) AS n FROM f GROUP BY camera")
@@ -242,7 +207,7 @@ def x29_reversals(spark, d):
 
 @query(f"WITH {FRAMES}, c AS (SELECT camera, start_ns // {86400 * S} AS day, count(*) AS n FROM f GROUP BY ALL) SELECT camera, day, n, n - lag(n) OVER (PARTITION BY camera ORDER BY day) AS d_count, day - lag(day) OVER (PARTITION BY camera ORDER BY day) AS d_time FROM c QUALIFY d_time > 0")
 def x28_rates(spark, d):
-    c = frames(spark, d).groupBy("camera", F.floor(F.col("start_ns") / (86400 * S)).alias("day")).agg(F.count("*").alias("n"))
+    c = frames(spark, d).groupBy("camera", bucket(F.col("start_ns"), 86400 * S).alias("day")).agg(F.count("*").alias("n"))
     return sequences.rates(c, ["camera"], "day", "n")
 
 
@@ -367,13 +332,6 @@ def j9_reconcile(spark, d):
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("doc_id"), state.alias("state"))
 
 
-@query(f"WITH {FRAMES}, s AS (SELECT recording, camera, max(CASE label WHEN 'error' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS rank FROM f GROUP BY ALL) SELECT recording, camera, CASE rank WHEN 3 THEN 'UNUSABLE' WHEN 2 THEN 'DEGRADED' WHEN 1 THEN 'UNKNOWN' ELSE 'GOOD' END AS status FROM s")
-def a9_worst_status(spark, d):
-    rank = F.when(F.col("label") == "error", 3).when(F.col("label") == "click", 2).when(F.col("label") == "view", 1).otherwise(0)
-    names = F.array(*[F.lit(x) for x in ("GOOD", "UNKNOWN", "DEGRADED", "UNUSABLE")])
-    return frames(spark, d).groupBy("recording", "camera").agg(F.max(rank).alias("rank")).select("recording", "camera", F.element_at(names, F.col("rank") + 1).alias("status"))
-
-
 @query(f"WITH {FRAMES} SELECT label, round(sum(CASE WHEN camera <= 2 THEN 1.0 WHEN camera <= 4 THEN 0.5 ELSE 0 END * least(value, 100) / 100) / 6, 6) AS score, count(DISTINCT camera) AS n_cameras, count(DISTINCT camera) = 6 AS complete FROM f GROUP BY label")
 def a14_view_fusion(spark, d):
     factor = F.when(F.col("camera") <= 2, 1.0).when(F.col("camera") <= 4, 0.5).otherwise(0.0)
