@@ -1,4 +1,4 @@
-"""Work graphs: readiness and the spread of failures."""
+"""Work graphs: readiness; the Pareto front."""
 
 from __future__ import annotations
 
@@ -12,12 +12,6 @@ def ready(items: DataFrame, needs: DataFrame) -> DataFrame:
     return items.filter("state = 'PENDING'").join(waiting, "id", "left_anti")
 
 
-def barrier(members: DataFrame, key: str, least_good: int) -> DataFrame:
-    """COMPLETE, INCOMPLETE or PENDING of each barrier from its members' states."""
-    of = members.groupBy(key).agg(F.count_if(F.col("state") == "PENDING").alias("pending"), F.count_if(F.col("state") == "SUCCEEDED").alias("good"), F.count_if((F.col("state") == "FAILED") & F.col("required")).alias("lost"))
-    return of.withColumn("status", F.when(F.col("pending") > 0, "PENDING").when((F.col("lost") > 0) | (F.col("good") < least_good), "INCOMPLETE").otherwise("COMPLETE"))
-
-
 def pareto(df: DataFrame, key: str, gain: str, cost: str) -> DataFrame:
     """Rows that no other beats: as much gain at as little cost, better in one.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bucket, content_digest, length_prefixed
 from ..operators import graphs, intervals, metrics, retrieval, sequences, timegrid, windows
 from ..sources import frames, table
-from . import quality  # noqa: F401  (registers its queries)
+from . import fusion, quality  # noqa: F401  (registers its queries)
 from .registry import ORACLE_SQL, QUERIES, S, query  # noqa: F401
 
 FLAGSHIP = "a1_gap_merge"
@@ -276,11 +276,6 @@ def j19_ready_work(spark, d):
     return graphs.ready(*_work(spark, d)).select("id", "lane")
 
 
-@query(f"WITH {_WORK}, c AS (SELECT lane, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'SUCCEEDED') AS good, count(*) FILTER (state = 'FAILED' AND priority LIKE '1%') AS lost FROM w GROUP BY lane) SELECT lane, pending, good, lost, CASE WHEN pending > 0 THEN 'PENDING' WHEN lost > 0 OR good < 2 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status FROM c")
-def a20_barrier(spark, d):
-    return graphs.barrier(_work(spark, d)[0].withColumn("required", F.col("priority").startswith("1")), "lane", 2)
-
-
 @query(f"WITH {_WORK} SELECT priority, state, count(*) AS n, round(coalesce(sum(cost), 0), 2) AS cost, max(id) AS last_id FROM w GROUP BY priority, state")
 def a19_state_summary(spark, d):
     return _work(spark, d)[0].groupBy("priority", "state").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("cost"), F.max("id").alias("last_id"))
@@ -332,22 +327,6 @@ def j9_reconcile(spark, d):
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("doc_id"), state.alias("state"))
 
 
-@query(f"WITH {FRAMES} SELECT label, round(sum(CASE WHEN camera <= 2 THEN 1.0 WHEN camera <= 4 THEN 0.5 ELSE 0 END * least(value, 100) / 100) / 6, 6) AS score, count(DISTINCT camera) AS n_cameras, count(DISTINCT camera) = 6 AS complete FROM f GROUP BY label")
-def a14_view_fusion(spark, d):
-    factor = F.when(F.col("camera") <= 2, 1.0).when(F.col("camera") <= 4, 0.5).otherwise(0.0)
-    n = F.countDistinct("camera")
-    return frames(spark, d).groupBy("label").agg(F.round(F.sum(factor * F.least("value", F.lit(100)) / 100) / 6, 6).alias("score"), n.alias("n_cameras"), (n == 6).alias("complete"))
-
-
-@query(f"""WITH {FRAMES}, c AS (SELECT label, camera, min(start_ns) + (max(end_ns) - min(start_ns)) // 2 AS centre, max(end_ns) - min(start_ns) AS dur FROM f GROUP BY ALL), m AS (SELECT label, quantile_disc(centre, 0.5) AS estimate, count(*) AS n FROM c GROUP BY label)
-SELECT label, estimate, n, max(abs(centre - estimate) + (dur + 1) // 2) AS uncertainty FROM c JOIN m USING (label) GROUP BY ALL HAVING n >= 3""")
-def a11_a12_boundary_reduction(spark, d):
-    c = frames(spark, d).groupBy("label", "camera").agg(F.expr("min(start_ns) + (max(end_ns) - min(start_ns)) div 2").alias("centre"), (F.max("end_ns") - F.min("start_ns")).alias("dur"))
-    # percentile_disc answers in doubles, too narrow for these; a label has at most six cameras
-    m = c.groupBy("label").agg(F.expr("element_at(sort_array(collect_list(centre)), cast((count(*) + 1) div 2 as int))").alias("estimate"), F.count("*").alias("n")).filter("n >= 3")
-    return c.join(m, "label").groupBy("label", "estimate", "n").agg(F.max(F.expr("abs(centre - estimate) + (dur + 1) div 2")).alias("uncertainty"))
-
-
 @query("WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A') SELECT l_partkey, true AS new FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION SELECT l_partkey, false FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
 def u1_u2_set_operations(spark, d):
     lines = table(spark, d, "lineitem")
