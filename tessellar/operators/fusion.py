@@ -219,3 +219,12 @@ def track_stream(hypotheses: DataFrame, key: str, gap: int) -> DataFrame:
     out = f"{key} {kind}, track long, label string, start_ns long, end_ns long, n long, state string"
     held = "ids array<long>, labels array<string>, starts array<long>, ends array<long>, ns array<long>"
     return hypotheses.groupBy(key).applyInPandasWithState(step, out, held, "update", GroupStateTimeout.NoTimeout)
+
+
+def provisional_actions(rows: DataFrame, keys: list[str], gap: int, least_cameras: int) -> DataFrame:
+    """One row a component of intervals of a key that lie within `gap`: its
+    envelope, the number of its parts, its cameras and its ambiguity."""
+    from .intervals import islands
+
+    g = islands(rows, keys, "start_ns", "end_ns", gap).groupBy(*keys, "island").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n_parts"), F.array_sort(F.collect_set("camera")).alias("_c"))
+    return g.withColumn("cameras", F.array_join("_c", ",")).withColumn("ambiguity", F.when(F.size("_c") < least_cameras, "SINGLE_CAMERA").otherwise("RESOLVED")).drop("_c")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +26,3 @@ def histogram_drift(df: DataFrame, cohort: str, a: str, b: str, value: str) -> D
     share = share.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(cohort)))
     both = share.groupBy(value).agg(F.sum(F.when(F.col(cohort) == a, F.col("share")).otherwise(0.0)).alias("pa"), F.sum(F.when(F.col(cohort) == b, F.col("share")).otherwise(0.0)).alias("pb"))
     return both.agg((F.sum(F.abs(F.col("pa") - F.col("pb"))) / 2).alias("total_variation"))
-
-
-def greedy_match(edges: DataFrame, group: str) -> DataFrame:
-    """One-to-one matches of each group's edges (a_id, b_id, iou), best iou
-    first, then smaller ids; each side is used once.  The choice is sequential
-    within a group, so a group's edges are one task's."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "a_id", "b_id"], ascending=[False, True, True])
-        used_a, used_b, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf["a_id"], pdf["b_id"], strict=True):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(i)
-        return pdf.loc[keep, [group, "a_id", "b_id", "iou"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.select(group, "a_id", "b_id", "iou").schema)
-    return edges.select(group, "a_id", "b_id", "iou").groupBy(group).applyInPandas(match, schema)
-
-
-def recall_at(found: DataFrame, relevant: DataFrame, query: str, item: str, rank: str, k: int) -> DataFrame:
-    hits = found.filter(F.col(rank) <= k).select(query, item).distinct().join(relevant, [query, item], "left_semi").groupBy(query).agg(F.count("*").alias("hits"))
-    return relevant.groupBy(query).agg(F.count("*").alias("relevant")).join(hits, query, "left").withColumn("recall", F.coalesce("hits", F.lit(0)) / F.col("relevant"))

@@ -29,13 +29,49 @@ def bucket_best(df: DataFrame, keys: list[str], ts: str, width: int, tolerance:
     return near.groupBy(*keys, "bucket").agg(F.min(F.struct("delta", ts, row)).alias("_best")).select(*keys, "bucket", F.col(f"_best.{row}").alias(row), "_best.delta")
 
 
-def watermark(df: DataFrame, key: str, order: str, ts: str, lateness: int, members: int) -> DataFrame:
-    """df with watermark: the least of all members' latest times so far, less
-    the lateness; null until each has a row."""
-    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    latest = [F.max(F.when(F.col(key) == m, F.col(ts))).over(so_far) for m in range(1, members + 1)]
-    known = [x.isNotNull() for x in latest]
-    all_known = known[0]
-    for x in known[1:]:
-        all_known = all_known & x
+def watermark(df: DataFrame, keys: list[str], member: str, order: str, ts: str, lateness: int, members: int) -> DataFrame:
+    """df with watermark: the least of all members' (1, 2, ...) latest times so
+    far in the key, less the lateness; null until each has a row."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    latest = [F.max(F.when(F.col(member) == m, F.col(ts))).over(so_far) for m in range(1, members + 1)]
+    all_known = latest[0].isNotNull()
+    for x in latest[1:]:
+        all_known = all_known & x.isNotNull()
     return df.withColumn("watermark", F.when(all_known, F.least(*latest) - lateness))
+
+
+def ring(df: DataFrame, keys: list[str], order: list[str], ts: str, size: str, age: int, budget: int) -> DataFrame:
+    """What a buffer holds after the last row of its key: rows no older than
+    `age` before the newest, the newest of them whose sizes stay in the budget."""
+    newest = F.max(ts).over(Window.partitionBy(*keys))
+    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("_age", newest - F.col(ts)).filter(F.col("_age") <= age).withColumn("_upto", upto).filter(F.col("_upto") <= budget).drop("_age", "_upto")
+
+
+def closed_prefix(results: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Results that may be reduced: those of ordinals 0, 1, ... up to the first one missing."""
+    w = Window.partitionBy(*keys).orderBy(ordinal)
+    return results.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") == F.col(ordinal)).drop("_n")
+
+
+def late_feedback(feedback: DataFrame, decisions: DataFrame, keys: list[str], at: str, sealed_at: str) -> DataFrame:
+    """feedback with effect: APPLIED before the decision was sealed, AUDIT_ONLY
+    from then on, PENDING without a decision."""
+    j = feedback.join(decisions.select(*keys, F.col(sealed_at).alias("_sealed")), keys, "left")
+    return j.withColumn("effect", F.when(F.col("_sealed").isNull(), "PENDING").when(F.col(at) < F.col("_sealed"), "APPLIED").otherwise("AUDIT_ONLY")).drop("_sealed")
+
+
+def replayed(log: DataFrame, key: str, digest: str, order: str) -> DataFrame:
+    """log with effect: APPLIED the first time, REPLAY the same again, CONFLICT with other content."""
+    w = Window.partitionBy(key).orderBy(order)
+    first = F.first(digest).over(w)
+    return log.withColumn("effect", F.when(F.row_number().over(w) == 1, "APPLIED").when(F.col(digest) == first, "REPLAY").otherwise("CONFLICT"))
+
+
+def hash_chain(df: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
+    """keys, n, root: SHA-256 of each declaration's digest after the one before
+    it, in order, from the empty one on.  Sequential in a key: its digests are
+    one sorted array."""
+    rows = F.array_sort(F.collect_list(F.struct(order, digest)))
+    root = F.aggregate(rows, F.sha2(F.lit(""), 256), lambda acc, r: F.sha2(F.concat(acc, r[digest]), 256))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), root.alias("root"))

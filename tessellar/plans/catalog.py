@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bucket, content_digest, length_prefixed
+from ..functions import bucket
 from ..operators import graphs, intervals, metrics, retrieval, sequences, timegrid, windows
 from ..sources import frames, table
-from . import fusion, quality  # noqa: F401  (registers its queries)
+from . import evaluation, fusion, quality, review, service, streams  # noqa: F401  (registers its queries)
 from .registry import ORACLE_SQL, QUERIES, S, query  # noqa: F401
 
 FLAGSHIP = "a1_gap_merge"
@@ -88,11 +88,6 @@ def a30_interval_iou(spark, d):
     return hit.select("a_id", "b_id", F.round(intervals.iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")), 6).alias("iou"))
 
 
-@query(None)
-def j18_greedy_iou_match(spark, d):
-    return metrics.greedy_match(a30_interval_iou(spark, d).join(frames(spark, d).select(F.col("event_id").alias("a_id"), "label"), "a_id"), "label")
-
-
 _W1 = "SELECT camera, epoch, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(back AS INTEGER)) AS BIGINT) AS n_back, min(start_ns) AS first_ns, max(start_ns) AS last_ns FROM (SELECT *, CAST(sum(CAST(back AS INTEGER)) OVER (PARTITION BY camera ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM (SELECT *, coalesce(start_ns <= lag(start_ns) OVER (PARTITION BY camera ORDER BY event_id), false) AS back FROM f)) GROUP BY camera, epoch"
 
 
@@ -313,12 +308,6 @@ def a18_duplicate_reduce(spark, d):
     return table(spark, d, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, sha256('{"doc_id":["' || doc_id || '"],"lang":["' || lang || '"],"source":["' || source || '"]}') AS digest, length(lang) || ':' || lang || length(source) || ':' || source AS key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
-def content_identity(spark, d):
-    docs = table(spark, d, "documents").filter("lang is not null and source is not null")
-    return docs.select("doc_id", content_digest(source=F.col("source"), doc_id=F.col("doc_id"), lang=F.col("lang")).alias("digest"), length_prefixed(F.col("lang"), F.col("source")).alias("key"))
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' WHEN (d.n_chars > 1000) <> (l.quality = 1) THEN 'differs' ELSE 'ok' END AS state FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def j9_reconcile(spark, d):
     a = table(spark, d, "documents").select(F.col("doc_id").alias("a"), "n_chars")
