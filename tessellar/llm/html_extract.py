@@ -14,6 +14,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ from .common import with_fields
 SAMPLE, INVENTED = 192, 320
 #: Widths of the path, word and measure parts of a block's vector; units a direction.
 PATH, WORDS, MEASURES, UNITS = 64, 32, 8, 24
+#: Open elements around a block that its path tells, the innermost ones.
+DEEP = 48
 EPOCHS, RATE, SEED = 6, 0.01, 515151
 
 #: Names of HTML.
@@ -39,6 +42,7 @@ OUTSIDE = frozenset("head nav footer aside form header menu dialog button fields
 INSIDE = frozenset("article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*|[^>]*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<!--.*", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+")
 
@@ -65,6 +69,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = in_link = 0
+    open_: Counter[str] = Counter()
     at = 0
 
     def close() -> None:
@@ -72,13 +77,14 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(w for _, m in stack for w in m), text, linked))
+                out.append(Block(tuple(w for _, m in stack[-DEEP:] for w in m), text, linked))
             parts.clear()
         linked = 0
 
     size = len(page)
+    last = page.rfind(">") + 1  # no tag ends after it: what follows is text, but for an open comment
     while at < size:
-        m = _TAG.search(page, at)
+        m = (_TAG.search(page, at, last) if at < last else None) or _OPEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
             parts.append(piece)
@@ -87,6 +93,8 @@ def blocks(page: str | None) -> list[Block]:
         if not m:
             break
         at = m.end()
+        if m.re is _OPEN or m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break
         if m[2] is None:
             continue
         tag = m[2].lower()
@@ -99,10 +107,10 @@ def blocks(page: str | None) -> list[Block]:
         close()
         in_link = 0
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:  # else a look through a deep stack is in vain
+                while stack[-1][0] != tag:
+                    open_[stack.pop()[0]] -= 1
+                open_[stack.pop()[0]] -= 1
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not m[3].endswith("/") else None
@@ -118,10 +126,12 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[i][0] in barrier:
                     break
                 if stack[i][0] in same:
+                    open_.subtract(t for t, _ in stack[i:])
                     del stack[i:]
                     break
         elif stack and stack[-1][0] == "p":
-            stack.pop()
+            open_[stack.pop()[0]] -= 1
+        open_[tag] += 1
         stack.append((tag, _marks(tag, m[3].strip())))
     close()
     return out

@@ -25,32 +25,56 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
     "All-Rights-Reserved": ("All rights reserved.",),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "CC0-1.0": ("SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "EPL-2.0": ("This program is made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only"),
+    "ISC": ("Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-only"),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0-only"),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
+
+
+def _gnu(name: str, version: str, dated: str) -> tuple[str, ...]:
+    """The ways in which headers and licence texts name a GNU licence and its version."""
+    by = "as published by the Free Software Foundation"
+    return (f"under the {name}, version {version}", f"{name} Version {version}, {dated}", f"{name} {by}, either version {version}", f"{name} {by}, version {version}", f"{name} version {version} {by}", f"{name} {by}; either version {version}", f"{name} {by}; version {version}")
+
+
 #: Phrases of standard headers, and openings of full licence texts, beside the notices.
 PHRASES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": (
-        "under the GNU Affero General Public License, version 3", "GNU Affero General Public License Version 3, 19 November 2007",
-        "GNU Affero General Public License as published by the Free Software Foundation, either version 3", "GNU Affero General Public License as published by the Free Software Foundation, version 3",
-        "GNU Affero General Public License version 3 as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0",
-    ),
+    "AGPL-3.0": (*_gnu("GNU Affero General Public License", "3", "19 November 2007"), "SPDX-License-Identifier: AGPL-3.0"),
     "Apache-2.0": ("under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "governed by a BSD-style license"),
     "CC-BY-4.0": ("under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "GPL-3.0": (
-        "under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007",
-        "GNU General Public License as published by the Free Software Foundation, either version 3", "GNU General Public License as published by the Free Software Foundation, version 3",
-        "GNU General Public License version 3 as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0",
-    ),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "EPL-2.0": ("Eclipse Public License v 2.0", "Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "GPL-2.0": (*_gnu("GNU General Public License", "2", "June 1991"), "GNU GPL, version 2", "GNU GPL version 2", "GNU GPL v2", "SPDX-License-Identifier: GPL-2.0"),
+    "GPL-3.0": (*_gnu("GNU General Public License", "3", "29 June 2007"), "GNU GPL, version 3", "GNU GPL v3", "SPDX-License-Identifier: GPL-3.0"),
+    "ISC": ("under the ISC License",),
+    "LGPL-2.1": (*_gnu("GNU Lesser General Public License", "2.1", "February 1999"), "SPDX-License-Identifier: LGPL-2.1"),
+    "LGPL-3.0": (*_gnu("GNU Lesser General Public License", "3", "29 June 2007"), "SPDX-License-Identifier: LGPL-3.0"),
     "MIT": ("under the MIT License",),
-    "MPL-2.0": ("terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0 1. Definitions", "SPDX-License-Identifier: MPL-2.0"),
+    "MPL-2.0": ("terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    "Unlicense": ("free and unencumbered software released into the public domain",),
 }
+RIGHTS = "All-Rights-Reserved"
+#: What a text with any window holds, so that most texts are looked through once.
+_ANY = r"licen[cs]e|gnu[^a-z0-9]+gpl|rights[^a-z0-9]+reserved|redistribution|permission|under[^a-z0-9]+cc|cc0|public[^a-z0-9]+domain|copyright[^a-z0-9]+and[^a-z0-9]+related"
+#: Copies of the small side of a join on directories, among which a directory's files are dealt.
+SALT = 32
 LEAST = 0.75
+#: Short words of any text.
+PLAIN = frozenset("a all and any by for in is of or the this to with".split())
 WORD = "[A-Za-z0-9]+"
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -72,14 +96,17 @@ def template_rows(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple[li
 
 def anchors(vectors: list[dict[str, float]], least: float) -> list[str]:
     """Terms of which a line must hold one to come to a cosine of `least` with
-    any template: a template's other terms together weigh less than that."""
+    any template: a template's other terms together weigh less than that.
+    Of the terms that would do, long words come first: short ones ("the", "of")
+    stand in lines of any kind."""
     out: set[str] = set()
     for v in vectors:
-        left = 0.0
-        for w, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
-            left += x * x
-            if left >= least * least * (1 - 1e-9):
-                out.add(w)
+        left = 1.0
+        for w, x in sorted(v.items(), key=lambda p: (len(p[0]) < 5, p[0] in PLAIN or p[0].isdigit(), -p[1], p[0])):
+            if left < least * least * (1 - 1e-9):
+                break
+            out.add(w)
+            left -= x * x
     return sorted(out)
 
 
@@ -140,8 +167,8 @@ def window_pattern(phrases: tuple[str, ...]) -> str:
 def _windows(rows: DataFrame) -> DataFrame:
     """path, license, score: licences of which a text holds a notice or phrase
     word for word.  A reservation of rights beside a licence says nothing."""
-    some = rows.filter(F.col("text").rlike("(?i)" + "licen[cs]e|rights[^a-z0-9]+reserved|redistribution|permission|under[^a-z0-9]+cc"))
-    rights = "All-Rights-Reserved"
+    some = rows.filter(F.col("text").rlike("(?i)" + _ANY))
+    rights = RIGHTS
     hit = {k: F.col("text").rlike(window_pattern((*TEMPLATES.get(k, ()), *PHRASES.get(k, ())))) for k in sorted({*TEMPLATES, *PHRASES})}
     named = some.withColumn("found", F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in hit.items() if k != rights])))
     found = F.when(F.size("found") > 0, F.col("found")).when(hit[rights], F.array(F.lit(rights)))
@@ -157,7 +184,8 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: flo
     """path, license, score, how and from_path of each distinct path.
 
     how: "own" (a line or, for a licence file, the whole text reaches `least`,
-    or a window of running words is a notice or phrase, score 1; the best score, ties to the licence's later name), "inherited" (of the
+    or a window of running words is a notice or phrase, score 1; the best score, ties to the licence's later name; rights reserved only
+    where nothing else is found), "inherited" (of the
     licence file in the nearest ancestor directory, the file's own included;
     of several there the best score, then the smallest path; the score is that
     file's) or "none" (null license, score 0).  A null or empty text has no
@@ -170,8 +198,8 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: flo
     by_line = _cosines(lines, ["path", "line_no"], least).select("path", "license", "score")
     is_license = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)
     by_file = _cosines(rows.filter(is_license).select("path", F.lit(-1).alias("line_no"), F.col("text").alias("line")), ["path", "line_no"], least).select("path", "license", "score")
-    own = by_line.unionByName(by_file).unionByName(_windows(rows)).groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"))
-    own = own.select("path", "best.license", "best.score")
+    own = by_line.unionByName(by_file).unionByName(_windows(rows))
+    own = own.groupBy("path").agg(F.max(F.struct(F.col("license") != RIGHTS, "score", "license")).alias("best")).select("path", "best.license", "best.score")
     paths = rows.select("path").distinct().withColumn("dir", _directory(F.col("path")))
     paths = cut(paths.join(own, "path", "left"))  # read three times below
     # one row a directory: its licence file, if any
@@ -181,7 +209,10 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", least: flo
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
     above = dirs.select("dir", F.explode(up).alias("a")).select("dir", "a.depth", "a.above").filter((F.col("depth") > 0) | (F.col("above") == ""))
     nearest = above.join(given.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by("by", "depth").alias("by"))
-    out = paths.join(nearest, "dir", "left")
+    # a directory may hold a third of all files: they are dealt among copies of its one row
+    salt = F.pmod(F.hash("path"), F.lit(SALT))
+    nearest = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = paths.withColumn("_salt", salt).join(nearest, ["dir", "_salt"], "left")
     mine = F.col("license").isNotNull()
     return out.select(
         "path",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +42,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    """Documents as files: source/lang/doc_id div 500/doc_id; every fiftieth is
+    a licence file of its source/lang, LICENSE.doc_id."""
+    place = F.concat_ws("/", "source", "lang")
+    i = F.col("doc_id").cast("string")
+    return docs.select(F.when(F.col("doc_id") % 50 == 0, F.concat(place, F.lit("/LICENSE."), i)).otherwise(F.concat_ws("/", place, F.expr("cast(doc_id div 500 as string)"), i)).alias("path"), "text")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/doc_id."""
-    docs = _read(spark, sf_dir, "documents")
-    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    found = licenses.scan(files)
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how")
+    """Files without a licence inherit that of the best licence file of their source and language."""
+    found = licenses.scan(_files(_read(spark, sf_dir, "documents")))
+    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,24 +94,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _license_sql() -> str:
-    rows, idf, unknown, vectors = licenses.template_rows()
-    weights = ", ".join(f"('{w}', {x!r}e0)" for w, x in idf.items())
-    notices = ", ".join(f"({k}, '{w}', {x!r}e0)" for k, v in enumerate(vectors) for w, x in v.items())
-    names = ", ".join(f"({k}, '{r[0]}')" for k, r in enumerate(rows))
-    pattern = "|".join(licenses.anchors(vectors, licenses.LEAST))
+    """Weights are worked out here from the notices alone, every line is scored, and directories are looked up level by level."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    notices = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, v in sorted(licenses.TEMPLATES.items()) for t in v)
+
+    def running(phrases: tuple[str, ...]) -> str:
+        return "(^|[^a-z0-9])(" + "|".join(sorted({"[^a-z0-9]+".join(re.findall(licenses.WORD, p.lower())) for p in phrases})) + ")([^a-z0-9]|$)"
+
+    windows = ", ".join(f"({quoted(k)}, {quoted(running((*licenses.TEMPLATES.get(k, ()), *licenses.PHRASES.get(k, ()))))})" for k in sorted({*licenses.TEMPLATES, *licenses.PHRASES}))
     return f"""
-WITH idf(term, idf) AS (VALUES {weights}), w(k, term, weight) AS (VALUES {notices}), names(k, license) AS (VALUES {names}),
-files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
-numbered AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files),
-kept AS (SELECT * FROM numbered WHERE regexp_matches(lower(line), '(^|[^a-z0-9])({pattern})([^a-z0-9]|$)')),
-words AS (SELECT path, line_no, lower(unnest(regexp_extract_all(line, '{licenses.WORD}'))) AS term FROM kept),
-counted AS (SELECT path, line_no, term, count(*) * coalesce(any_value(idf), {unknown!r}e0) AS x FROM words LEFT JOIN idf USING (term) GROUP BY path, line_no, term),
-norms AS (SELECT path, line_no, sqrt(sum(x * x)) AS norm FROM counted GROUP BY path, line_no),
-dots AS (SELECT path, line_no, k, sum(x * weight) AS dot FROM counted JOIN w USING (term) GROUP BY path, line_no, k),
-scored AS (SELECT path, license, round(dot / norm, 9) AS score FROM dots JOIN norms USING (path, line_no) JOIN names USING (k) WHERE round(dot / norm, 9) >= {licenses.LEAST}),
-best AS (SELECT path, license, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, license DESC) AS n FROM scored)
-SELECT f.doc_id, f.path, b.license, round(coalesce(b.score, 0.0), 6) AS score, CASE WHEN b.license IS NULL THEN 'none' ELSE 'own' END AS how
-FROM (SELECT DISTINCT doc_id, path FROM files) f LEFT JOIN (SELECT * FROM best WHERE n = 1) b USING (path)
+WITH notices AS (SELECT row_number() OVER () AS k, * FROM (VALUES {notices}) v(license, notice)), phrases(license, pattern) AS (VALUES {windows}),
+tc AS (SELECT k, term, count(*) AS c FROM (SELECT k, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM notices) GROUP BY ALL),
+idf AS (SELECT term, ln((1e0 + (SELECT count(*) FROM notices)) / (1e0 + count(*))) + 1e0 AS idf FROM tc GROUP BY term), unknown AS (SELECT ln(1e0 + count(*)) + 1e0 AS u FROM notices),
+tw AS (SELECT k, term, c * idf AS x FROM tc JOIN idf USING (term)), w AS (SELECT k, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS weight FROM tw),
+files AS (SELECT doc_id, source || '/' || lang AS top, CASE WHEN doc_id % 50 = 0 THEN concat_ws('/', source, lang) || '/LICENSE.' || doc_id ELSE concat_ws('/', source, lang, CAST(doc_id // 500 AS VARCHAR), CAST(doc_id AS VARCHAR)) END AS path, concat_ws('/', source, lang) AS dir, doc_id % 50 = 0 AS is_license, text FROM documents),
+numbered AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files UNION ALL SELECT path, text, -1 FROM files WHERE is_license AND text IS NOT NULL),
+counted AS (SELECT path, line_no, term, count(*) AS c FROM (SELECT path, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM numbered) GROUP BY ALL),
+weighed AS (SELECT path, line_no, counted.term, c * coalesce(idf, u) AS x FROM counted LEFT JOIN idf ON idf.term = counted.term, unknown),
+norms AS (SELECT path, line_no, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL), dots AS (SELECT path, line_no, k, sum(x * weight) AS dot FROM weighed JOIN w ON w.term = weighed.term GROUP BY ALL),
+hits AS (SELECT path, license, round(dot / norm, 9) AS score FROM dots JOIN norms USING (path, line_no) JOIN notices USING (k) WHERE round(dot / norm, 9) >= {licenses.LEAST} UNION ALL SELECT path, license, 1e0 FROM files JOIN phrases ON regexp_matches(lower(text), pattern)),
+best AS (SELECT path, license, score FROM hits QUALIFY row_number() OVER (PARTITION BY path ORDER BY license = '{licenses.RIGHTS}', score DESC, license DESC) = 1),
+given AS (SELECT dir, license, score FROM files JOIN best USING (path) WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1)
+SELECT doc_id, path, coalesce(b.license, g.license) AS license, round(coalesce(b.score, g.score, 0.0), 6) AS score, CASE WHEN b.license IS NOT NULL THEN 'own' WHEN g.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+FROM files f LEFT JOIN best b USING (path) LEFT JOIN given g ON g.dir = f.dir
 """
 
 
