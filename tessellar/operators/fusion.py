@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -167,20 +168,23 @@ def tracks(hypotheses: DataFrame, key: str, gap: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[dict] = []
-        for _, step in pdf.sort_values(["step", "start_ns", "end_ns", "id"]).groupby("step", sort=True):
-            live, used = [t for t in made if t["state"] != "CLOSED"], set()
-            for h in step.itertuples(index=False):
-                far = [(max(0, h.start_ns - t["end_ns"], t["start_ns"] - h.end_ns), t["track"]) for t in live if t["label"] == h.label and t["track"] not in used]
-                near = [x for x in far if x[0] <= gap]
+        live: list[dict] = []
+        rows = pdf.sort_values(["step", "start_ns", "end_ns", "id"])
+        for _, step in groupby(zip(rows["step"], rows["label"], rows["start_ns"], rows["end_ns"], strict=True), key=lambda r: r[0]):
+            kept = []
+            for _, label, start, end in step:
+                near = [(far, t["track"]) for t in live if t["label"] == label and (far := max(0, start - t["end_ns"], t["start_ns"] - end)) <= gap]
                 if near:
                     t = made[min(near)[1]]
-                    t |= {"start_ns": min(t["start_ns"], h.start_ns), "end_ns": max(t["end_ns"], h.end_ns), "n": t["n"] + 1, "state": "UPDATED"}
-                    used.add(t["track"])
+                    t |= {"start_ns": min(t["start_ns"], start), "end_ns": max(t["end_ns"], end), "n": t["n"] + 1, "state": "UPDATED"}
+                    live.remove(t)  # one hypothesis a track and step
                 else:
-                    made.append({"track": len(made), "label": h.label, "start_ns": h.start_ns, "end_ns": h.end_ns, "n": 1, "state": "OPEN"})
+                    t = {"track": len(made), "label": label, "start_ns": start, "end_ns": end, "n": 1, "state": "OPEN"}
+                    made.append(t)
+                kept.append(t)
             for t in live:
-                if t["track"] not in used:
-                    t["state"] = "CLOSED"
+                t["state"] = "CLOSED"
+            live = kept
         out = pd.DataFrame(made)
         out.insert(0, key, pdf[key].iloc[0])
         return out
