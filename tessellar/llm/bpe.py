@@ -32,6 +32,8 @@ from .common import lean, with_fields
 
 #: Bytes of text in a block; a longer text is cut at word starts into blocks of its own.
 BLOCK = 8_000_000
+#: zstd's level for what is shuffled.
+LEVEL = 6
 #: Distinct words that a task of the word table remembers before it starts anew.
 MEMO = 400_000
 #: Distinct words encoded as one text.
@@ -90,6 +92,12 @@ def _parts(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> pa.Codec:
+    """Shuffled blobs are compressed harder than by default: disk is scarcer than CPU here."""
+    return pa.Codec("zstd", compression_level=LEVEL)
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Whole numbers as few bytes as they need, all first bytes, then all second ones and so on, compressed."""
     out = []
@@ -97,7 +105,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a, "<u8")
         width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
         planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-        body = pa.compress(planes, codec="zstd", asbytes=True)
+        body = _zstd().compress(planes, asbytes=True)
         out.append(len(a).to_bytes(8, "little") + width.to_bytes(1, "little") + len(body).to_bytes(8, "little") + body)
     return b"".join(out)
 
@@ -129,7 +137,7 @@ def _array(kind: pa.DataType, offsets: np.ndarray, data: np.ndarray | bytes) ->
 def _pack(words: pa.StringArray) -> bytes:
     off, data = _bytes_of(words)
     body = data.tobytes()
-    return _squeeze(np.diff(off), np.array([len(body)])) + pa.compress(body, codec="zstd", asbytes=True)
+    return _squeeze(np.diff(off), np.array([len(body)])) + _zstd().compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes) -> pa.StringArray:

@@ -33,7 +33,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_50k.json")
-    out = bpe.encode(_read(spark, sf_dir, "documents"), path, decoded=True)
+    # larger blocks than the default name fewer words twice: less is shuffled, for more memory
+    out = bpe.encode(_read(spark, sf_dir, "documents"), path, decoded=True, block=2 * bpe.BLOCK)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
