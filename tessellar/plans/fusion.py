@@ -14,14 +14,14 @@ _WEIGHTS = {"visibility": 0.4, "coverage": 0.3, "reported": 0.1, "qa": 0.2}
 @query(f"""WITH {SHOTS}, e AS (SELECT recording, camera, max(value) AS v, count(*) AS n, max(label) AS l FROM f GROUP BY recording, camera),
 s AS (SELECT recording, camera, CASE WHEN v > 250 THEN 'SUPPORTING' WHEN v > 150 THEN 'PARTIAL' ELSE 'NONE' END AS status, CASE WHEN n % 3 = 0 THEN 0.0 ELSE least(1.0, v / 400) END AS visibility, least(1.0, n / 100.0) AS coverage, 0.5 AS reported, CASE WHEN n % 2 = 0 THEN 1.0 WHEN n % 5 = 0 THEN 0.7 ELSE 0.0 END AS qa FROM e),
 g AS (SELECT recording, sum((0.4e0 * visibility + 0.3e0 * coverage + 0.1e0 * reported + 0.2e0 * qa) * CASE status WHEN 'SUPPORTING' THEN 1.0 WHEN 'PARTIAL' THEN 0.5 ELSE 0.0 END) / 6 AS c, count(*) FILTER (status <> 'NONE') AS supporting FROM s GROUP BY recording)
-SELECT recording, round(c, 4) AS confidence, supporting, CASE WHEN supporting >= 3 AND c >= 0.3 THEN 'RESOLVED' ELSE concat_ws('+', CASE WHEN supporting < 3 THEN 'INSUFFICIENT_CAMERA_SUPPORT' END, CASE WHEN c < 0.3 THEN 'LOW_UNCALIBRATED_CONFIDENCE' END) END AS ambiguity FROM g""")
+SELECT recording, round(c, 3) AS confidence, supporting, CASE WHEN supporting >= 3 AND c >= 0.3 THEN 'RESOLVED' ELSE concat_ws('+', CASE WHEN supporting < 3 THEN 'INSUFFICIENT_CAMERA_SUPPORT' END, CASE WHEN c < 0.3 THEN 'LOW_UNCALIBRATED_CONFIDENCE' END) END AS ambiguity FROM g""")
 def a14_view_fusion(spark, d):
     e = shots(spark, d).groupBy("recording", "camera").agg(F.max("value").alias("v"), F.count("*").alias("n"))
     e = e.select(
         "recording", F.when(F.col("v") > 250, "SUPPORTING").when(F.col("v") > 150, "PARTIAL").otherwise("NONE").alias("status"), F.when(F.col("n") % 3 != 0, F.least(F.lit(1.0), F.col("v") / 400)).alias("visibility"),
         F.least(F.lit(1.0), F.col("n") / 100.0).alias("coverage"), F.lit(0.5).alias("reported"), F.when(F.col("n") % 2 == 0, "GOOD").when(F.col("n") % 5 == 0, "DEGRADED").otherwise("UNKNOWN").alias("quality"),
     )
-    return fusion.view_scores(e, ["recording"], _WEIGHTS, 3, 0.3).withColumn("confidence", F.round("confidence", 4))
+    return fusion.view_scores(e, ["recording"], _WEIGHTS, 3, 0.3).withColumn("confidence", F.round("confidence", 3))
 
 
 _OUTCOMES = f"{SHOTS}, c AS (SELECT recording, label, camera, CASE WHEN bool_or(value > 200) THEN 'SUPPORTED' WHEN bool_and(value <= 150) THEN 'NO_ACTION' ELSE 'INDETERMINATE' END AS outcome FROM f GROUP BY recording, label, camera)"
