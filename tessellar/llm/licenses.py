@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +70,8 @@ PHRASES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("free and unencumbered software released into the public domain",),
 }
 RIGHTS = "All-Rights-Reserved"
-#: What a text with any window holds, so that most texts are looked through once.
-_ANY = r"licen[cs]e|gnu[^a-z0-9]+gpl|rights[^a-z0-9]+reserved|redistribution|permission|under[^a-z0-9]+cc|cc0|public[^a-z0-9]+domain|copyright[^a-z0-9]+and[^a-z0-9]+related"
+#: Of which every window holds one, so that most texts are looked through a few times only.
+MARKS = (" license", " licensed ", " gpl", " rights reserved ", " redistribution ", " permission ", " under cc ", " cc0 ", " public domain ", " copyright and related ")
 #: Copies of the small side of a join on directories, among which a directory's files are dealt.
 SALT = 32
 LEAST = 0.75
@@ -110,6 +112,11 @@ def anchors(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(out)
 
 
+def _words(text: Column) -> Column:
+    """The running words of a text in lower case, an array."""
+    return F.array_remove(F.transform(F.split(text, f"[^{WORD[1:-2]}]+"), F.lower), "")
+
+
 def _could_reach(words: Column, least: float) -> Column:
     """Whether a line of these words may come to `least` with any template, by
     a bound that one pass over them gives.
@@ -117,27 +124,23 @@ def _could_reach(words: Column, least: float) -> Column:
     The dot product is a sum over words, so it is at most that of each word's
     largest weight.  Squares of counts are at least the counts, and the known
     terms' part of the norm at least their sum over the root of their number.
+    Weights are looked up for known words alone; the others are counted.
     """
     _, idf, unknown, vectors = template_rows()
     facts = F.create_map(*[F.lit(y) for w, x in idf.items() for y in (w, x)])
     reach = F.create_map(*[F.lit(y) for w, x in idf.items() for y in (w, x * max(v.get(w, 0.0) for v in vectors))])
 
     def add(a: Column, word: Column) -> Column:
-        w = F.lower(word)
-        is_known = w.isin(*idf)
-        weight = F.when(is_known, F.element_at(facts, w))
-        return F.struct(
-            (a["dot"] + F.when(is_known, F.element_at(reach, w)).otherwise(F.lit(0.0))).alias("dot"),
-            (a["sum"] + F.coalesce(weight, F.lit(0.0))).alias("sum"),
-            (a["known"] + F.coalesce(weight * weight, F.lit(0.0))).alias("known"),
-            (a["other"] + F.when(is_known, F.lit(0.0)).otherwise(F.lit(unknown * unknown))).alias("other"),
-        )
+        weight = F.element_at(facts, word)
+        return F.struct((a["dot"] + F.element_at(reach, word)).alias("dot"), (a["sum"] + weight).alias("sum"), (a["known"] + weight * weight).alias("known"), (a["n"] + F.lit(1)).alias("n"))
 
     def done(a: Column) -> Column:
-        norm2 = F.greatest(a["known"], a["sum"] * a["sum"] / F.lit(float(len(idf)))) + a["other"]
+        other = (F.size(words) - a["n"]) * F.lit(unknown * unknown)
+        norm2 = F.greatest(a["known"], a["sum"] * a["sum"] / F.lit(float(len(idf)))) + other
         return a["dot"] >= F.lit(least - 1e-6) * F.sqrt(norm2)
 
-    return F.aggregate(words, F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "sum", "known", "other")]), add, done)
+    none = F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "sum", "known")], F.lit(0).alias("n"))
+    return F.aggregate(F.filter(words, lambda w: w.isin(*idf)), none, add, done)
 
 
 def _cosines(lines: DataFrame, key: list[str], least: float) -> DataFrame:
@@ -146,35 +149,39 @@ def _cosines(lines: DataFrame, key: list[str], least: float) -> DataFrame:
     spark = lines.sparkSession
     names = [f"w{k}" for k in range(len(rows))]
     table = spark.createDataFrame([(w, x, *[float(v.get(w, 0.0)) for v in vectors]) for w, x in idf.items()], "term string, idf double, " + ", ".join(f"{n} double" for n in names))
-    pattern = r"(?i)(?<![a-z0-9])(" + "|".join(anchors(vectors, least)) + ")(?![a-z0-9])"
-    some = lines.filter(F.col("line").rlike(pattern))
-    found = F.regexp_extract_all("line", F.lit(f"({WORD})"))
+    found = _words(F.col("line"))
+    some = lines.filter(F.arrays_overlap(found, F.array(*map(F.lit, anchors(vectors, least)))))
     # lines that cannot reach it go before their words are shuffled
     words = some.filter(_could_reach(found, least)).select(*key, F.explode(found).alias("term"))
-    counted = words.select(*key, F.lower("term").alias("term")).groupBy(*key, "term").count()
+    counted = words.groupBy(*key, "term").count()
     weighed = counted.join(F.broadcast(table), "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(unknown)))  # a few hundred rows
     dots = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.coalesce(n, F.lit(0.0))).alias(n) for n in names])
     scored = F.array(*[F.struct(F.round(F.col(n) / F.col("norm"), 9).alias("score"), F.lit(-k).alias("first"), F.lit(rows[k][0]).alias("license")) for k, n in enumerate(names)])
     return dots.select(*key, F.array_max(scored).alias("best")).select(*key, "best.license", "best.score").filter(F.col("score") >= least)
 
 
-def window_pattern(phrases: tuple[str, ...]) -> str:
-    """Matches any of the phrases as running words, with any signs between them."""
-    each = {"[^a-z0-9]+".join(w.lower() for w in re.findall(WORD, p)) for p in phrases}
-    return "(?i)(?<![a-z0-9])(" + "|".join(sorted(each)) + ")(?![a-z0-9])"
+def window(phrase: str) -> str:
+    """The phrase as running words between single spaces."""
+    return " " + " ".join(w.lower() for w in re.findall(WORD, phrase)) + " "
 
 
 def _windows(rows: DataFrame) -> DataFrame:
     """path, license, score: licences of which a text holds a notice or phrase
-    word for word.  A reservation of rights beside a licence says nothing."""
-    some = rows.filter(F.col("text").rlike("(?i)" + _ANY))
-    rights = RIGHTS
-    hit = {k: F.col("text").rlike(window_pattern((*TEMPLATES.get(k, ()), *PHRASES.get(k, ())))) for k in sorted({*TEMPLATES, *PHRASES})}
-    named = some.withColumn("found", F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in hit.items() if k != rights])))
-    found = F.when(F.size("found") > 0, F.col("found")).when(hit[rights], F.array(F.lit(rights)))
+    word for word, with any signs between the words.  A reservation of rights
+    beside a licence says nothing."""
+    # lower case comes second: it would make letters of other signs
+    plain = F.concat(F.lit(" "), F.lower(F.regexp_replace("text", f"[^{WORD[1:-2]}]+", " ")), F.lit(" "))
+    some = rows.select("path", plain.alias("plain")).filter(F.array_contains(F.transform(F.array("plain"), _marked), True))
+    hit = {k: reduce(or_, [F.col("plain").contains(w) for w in sorted({window(p) for p in (*TEMPLATES.get(k, ()), *PHRASES.get(k, ()))})]) for k in sorted({*TEMPLATES, *PHRASES})}
+    named = some.withColumn("found", F.array_compact(F.array(*[F.when(x, F.lit(k)) for k, x in hit.items() if k != RIGHTS])))
+    found = F.when(F.size("found") > 0, F.col("found")).when(hit[RIGHTS], F.array(F.lit(RIGHTS)))
     return named.select("path", F.explode(found).alias("license"), F.lit(1.0).alias("score"))
 
 
+def _marked(plain: Column) -> Column:
+    return reduce(or_, [plain.contains(m) for m in MARKS])
+
+
 def _directory(path: Column) -> Column:
     """The path's directory, "" at the top."""
     return F.when(path.contains("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))

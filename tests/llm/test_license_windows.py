@@ -36,3 +36,9 @@ def test_full_texts_of_the_system(spark):
     rows = [(f"{n}/LICENSE", p.read_text()) for n, p in there.items()] + [(f"{n}/src/a.py", "code") for n in there]
     got = {r.path: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {f"{n}/LICENSE": (FULL[n], "own") for n in there} | {f"{n}/src/a.py": (FULL[n], "inherited") for n in there}
+
+
+def test_every_window_holds_a_mark():
+    for phrases in (*licenses.TEMPLATES.values(), *licenses.PHRASES.values()):
+        for p in phrases:
+            assert any(m in licenses.window(p) for m in licenses.MARKS), p
