@@ -39,13 +39,13 @@ def event_metrics(matches: DataFrame, found: DataFrame, truth: DataFrame, key: s
     return j.select(key, "n_truth", "n_found", "hits", F.coalesce(F.try_divide("hits", "n_truth"), F.lit(0.0)).alias("recall"), (F.col("n_truth") - F.col("hits")).alias("missed"), F.coalesce(F.try_divide(F.col("n_found") - F.col("hits"), F.col("hours")), F.lit(0.0)).alias("false_per_hour"))
 
 
-def boundary_metrics(pairs: DataFrame, tolerance: int) -> DataFrame:
+def boundary_metrics(pairs: DataFrame, tolerance: int, empty: float = 0.0) -> DataFrame:
     """One row: start_mae, end_mae, median_error, p95_error (index n * 0.95),
     mean iou, within_tolerance and accuracy of pairs (a_start, a_end, b_start,
-    b_end, same)."""
+    b_end, same).  empty: the iou of two empty intervals at one time."""
     from .intervals import iou
 
-    e = pairs.select(F.abs(F.col("a_start") - F.col("b_start")).alias("s"), F.abs(F.col("a_end") - F.col("b_end")).alias("e"), iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")).alias("iou"), F.col("same").cast("int").alias("same"))
+    e = pairs.select(F.abs(F.col("a_start") - F.col("b_start")).alias("s"), F.abs(F.col("a_end") - F.col("b_end")).alias("e"), iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"), empty).alias("iou"), F.col("same").cast("int").alias("same"))
     one = e.agg(F.avg("s").alias("start_mae"), F.avg("e").alias("end_mae"), F.avg("iou").alias("iou"), F.avg("same").alias("accuracy"), F.count("*").alias("n"))
     errors = e.select(F.explode(F.array("s", "e")).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
     # errors by value with running counts: no list of all of them is made

@@ -58,7 +58,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int)
     return hit.filter(F.col("_bucket") == bucket(F.greatest("a_start", "b_start"), width)).drop("_bucket")
 
 
-def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Intersection over the hull: 0 when disjoint."""
+def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column, empty: float = 0.0) -> Column:
+    """Intersection over the hull: 0 when disjoint; `empty` when the hull has no
+    length, both being empty at one time."""
     both = F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-    return both / (F.greatest(a_end, b_end) - F.least(a_start, b_start))
+    hull = F.greatest(a_end, b_end) - F.least(a_start, b_start)
+    return F.when(hull == 0, F.lit(empty)).otherwise(F.try_divide(both, hull))
