@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc  # by its own name it travels with functions; pa.compute may not be loaded in a worker
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +117,7 @@ def with_fields(df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.Ta
                 for at in range(0, b.num_rows, ROWS):
                     some = b.slice(at, ROWS)
                     rows.append(some.column(0))
-                    yield pa.table({k: some.column(i) if kind == "in" else pa.compute.struct_field(some.column(0), [i]) for k, (kind, i) in place.items()})
+                    yield pa.table({k: some.column(i) if kind == "in" else pc.struct_field(some.column(0), [i]) for k, (kind, i) in place.items()})
 
         for made in fn(feed()):
             made = made.combine_chunks()

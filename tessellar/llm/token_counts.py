@@ -16,6 +16,7 @@ from functools import lru_cache
 from itertools import filterfalse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -95,9 +96,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, text: str = "text", limit:
         count = counter(model_path)
         for t in tables:
             n = [count(x) for x in t.column("text").to_pylist()]
-            size = pa.compute.fill_null(pa.compute.binary_length(t.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(t.column("text")), 0).cast(pa.int64())
             yield pa.table({"n_bytes": size, "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
-
     return with_fields(docs, fn, {"text": text}, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())])
