@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import lean, with_fields
+from .common import give_back, lean, with_fields
 
 #: Labelled rows of each class that are learnt from, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1024, 2048
@@ -311,7 +311,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_
     share = [there.get(k, 0) / max(1, held[k]) for k in (0, 1)]
     mean = max(1e-9, sum(share[k] * held[k] for k in (0, 1)) / max(1, len(y)))
     prior = there.get(1, 0) / max(1, sum(there.values()))
-    return learn_index(sample, y, ids, got.column("sketch").to_pylist(), (share[0] / mean, share[1] / mean), prior)
+    sketches = got.column("sketch").to_pylist()
+    del got
+    index = learn_index(sample, y, ids, sketches, (share[0] / mean, share[1] / mean), prior)
+    del sample, sketches, ids, y
+    give_back()  # else the driver keeps what the sample took
+    return index
 
 
 def score(docs: DataFrame, index: Index, *, text: str = "text", evidence: bool = False) -> DataFrame:
